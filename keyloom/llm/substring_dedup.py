@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, binary_column, covered, mix, pack, runs, text_bytes, total_bytes, unpack
 from .suffix_dedup import _in_order, _rows
-from .windows import EDGE, REPEAT, bucket_edges, distinct, judge, rolling, segments
+from .windows import EDGE, REPEAT, bucket_edges, changes, distinct, each_window, judge, multikey_order, rolling, seed_hashes, segment_hashes, segments
 
 BLOCK_BYTES = 8 << 20
 GRAM = 20
@@ -62,8 +62,10 @@ class _Block:
         self.ids, self.window = docs["doc_id"].to_numpy(), window
         self.data, self.byte_offsets = binary_column(docs["text"])
         self.words, self.offsets = word_hashes(self.data, self.byte_offsets)
-        self.segs = segments(self.words, self.offsets, window, min(GRAM, window))
-        self.pairs = distinct(self.segs, self.ids)
+        self.segs = segments(self.words.astype(np.uint32), self.offsets, window, min(GRAM, window))
+        every = np.arange(len(self.segs.first))
+        doc = self.ids[self.segs.row] if len(every) else np.zeros(0, np.int64)
+        self.pairs = distinct(seed_hashes(self.words, self.segs, min(GRAM, window)), segment_hashes(self.words, self.segs, every, window), doc, every)
 
     def places(self, seg: np.ndarray) -> np.ndarray:
         return self.segs.first[seg] - self.offsets[self.segs.row[seg]] if len(seg) else np.zeros(0, np.int64)
@@ -74,17 +76,17 @@ class _Block:
         seg = self.pairs.at[open_]
         first, n = self.segs.first[seg], self.segs.last[seg] - self.segs.first[seg] + 1
         pair = np.repeat(open_, n)
-        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        at = each_window(first, n)
         if not len(at):
             return pair, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        h, g = rolling(self.words, self.window)[at], rolling(mix(self.words + _B), self.window)[at]
+        h, g = mix(rolling(self.words, self.window)[at]), mix(rolling(mix(self.words + _B), self.window)[at])
         order, run_of, least = _hash_runs(h, g, self.pairs.doc[pair])
         return pair, h, g, order, run_of, least
 
 
 def _hash_runs(h, g, doc):
-    order = np.lexsort((g, h))
-    new = np.concatenate(([True], (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])))
+    order = multikey_order(h, g)
+    new = changes(order, h, g)
     return order, np.cumsum(new) - 1, np.minimum.reduceat(doc[order], np.flatnonzero(new))
 
 

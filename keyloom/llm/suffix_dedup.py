@@ -7,7 +7,7 @@ straddles two buckets: the comparison across a boundary is the one with the spli
 
 Only suffixes that can matter are exchanged. windows.py first settles, by seeds, the windows that no other document can
 share and the segments that an earlier document holds as a whole; the suffixes of the rest (where a repeat begins or
-ends) go through the suffix array. Each block sends a string once, with its smallest document, so a passage of a third
+ends, on the side of the seed on which the text goes on alike) go through the suffix array. Each block sends a string once, with its smallest document, so a passage of a third
 of all documents costs one suffix a block.
 
 Defined cases: null text counts as empty; rows without 50 bytes lose nothing; rows that share an id never outdate each
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, binary_column, covered, mix, pack, runs, text_bytes, total_bytes, unpack
-from .windows import EDGE, REPEAT, bucket_edges, distinct, judge, segments
+from .windows import REPEAT, bucket_edges, changes, distinct, each_window, gather, hash_rows, judge, multikey_order, seed_hashes, segment_hashes, segments, several, words_of
 
 #: Bytes of text in a block; a bucket gets the seeds of two blocks.
 BLOCK_BYTES = 8 << 20
@@ -30,116 +30,160 @@ BLOCK_BYTES = 8 << 20
 SAMPLE = 4096
 GRAM = 24
 
-_TABLE = mix(np.arange(1, 257, dtype=np.uint64))
+_TABLE = mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
 _EXCHANGE = "block long, key long, kind int, payload binary"
-
-
-def multikey_order(words: np.ndarray) -> np.ndarray:
-    """Order of the rows of a matrix of big-endian words: sort by one word, then only what ties by the next."""
-    order = np.argsort(words[:, 0], kind="stable")
-    tie = words[order[1:], 0] == words[order[:-1], 0]
-    for k in range(1, words.shape[1]):
-        if not tie.any():
-            break
-        inside = np.concatenate((tie, [False])) | np.concatenate(([False], tie))
-        group = np.cumsum(np.concatenate(([True], ~tie)))[inside]
-        sel = order[inside]
-        sub = np.lexsort((words[sel, k], group))
-        order[inside] = sel = sel[sub]
-        same = np.zeros(len(order) - 1, bool)
-        at = np.flatnonzero(inside)
-        near = at[1:] == at[:-1] + 1
-        same[at[:-1][near]] = (words[sel[1:], k] == words[sel[:-1], k])[near]
-        tie &= same
-    return order
-
-
-def _words(strings: np.ndarray) -> np.ndarray:
-    wide = np.zeros((len(strings), -(-strings.shape[1] // 8) * 8), np.uint8)
-    wide[:, : strings.shape[1]] = strings
-    return wide.view(">u8").astype(np.uint64)
+#: Kinds of payload: which seeds others share, verdicts on segments, verdicts on suffixes.
+SHARED, VERDICT, SUFFIX = 0, 1, 2
 
 
 def suffix_runs(strings: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffix order, the run of each place in it, and each run's smallest document."""
     if not len(strings):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    words = _words(strings)
-    order = multikey_order(words)
-    new = np.concatenate(([True], (words[order[1:]] != words[order[:-1]]).any(axis=1)))
+    words = list(words_of(strings).T)
+    order = multikey_order(*words)
+    new = changes(order, *words)
     return order, np.cumsum(new) - 1, np.minimum.reduceat(doc[order], np.flatnonzero(new))
 
 
 class _Block:
     """What every pass over a block works out again, always alike."""
 
-    def __init__(self, docs: pa.Table, window: int):
+    def __init__(self, docs: pa.Table, window: int, buckets: int):
         docs = docs.sort_by([("doc_id", "ascending")])
         self.ids = docs["doc_id"].to_numpy()
         self.data, self.offsets = binary_column(docs["text"])
-        self.window = window
-        self.segs = segments(_TABLE[self.data], self.offsets, window, min(GRAM, window))
-        self.pairs = distinct(self.segs, self.ids)
-
-    def edge_suffixes(self, verdict: np.ndarray):
-        """Pair and place of every window that is still open, and its bytes."""
-        open_ = np.flatnonzero(verdict == EDGE)
-        seg = self.pairs.at[open_]
-        first, n = self.segs.first[seg], self.segs.last[seg] - self.segs.first[seg] + 1
-        pair = np.repeat(open_, n)
-        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        if not len(at):
-            return pair, at, np.zeros((0, self.window), np.uint8)
-        return pair, at, np.lib.stride_tricks.sliding_window_view(self.data, self.window)[at]
+        self.window, self.gram, self.buckets = window, min(GRAM, window), buckets
+        self.half = (window - self.gram) // 2
+        self.segs = segments(_TABLE[self.data], self.offsets, window, self.gram)
+        self.doc = self.ids[self.segs.row] if len(self.segs.row) else np.zeros(0, np.int64)
+        self.seed = seed_hashes(self.data, self.segs, self.gram)
+        # a bucket's number over 32 more bits: all that is sent of a seed at first
+        self.mark = ((self.seed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32) << np.uint64(32)) | (self.seed & np.uint64(0xFFFFFFFF))
+
+    def marks(self):
+        """The distinct marks, in order; the mark of each segment; whether two documents of the block share it."""
+        order = np.argsort(self.mark)
+        new = changes(order, self.mark)
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        at = np.flatnonzero(new)
+        doc = self.doc[order]
+        several = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at) if len(at) else np.zeros(0, bool)
+        return self.mark[order[new]], of, several
+
+    def shared_pairs(self, elsewhere: np.ndarray) -> np.ndarray:
+        """Segments whose seed is in another document; their distinct pairs are kept."""
+        _, of, here = self.marks()
+        which = np.flatnonzero((here | elsewhere)[of]) if len(of) else np.zeros(0, np.int64)
+        self.which = which
+        self.pairs = distinct(self.seed[which], segment_hashes(self.data, self.segs, which, self.window), self.doc[which], which)
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of each pair's seed with some bytes before it, and with some after it: a window has one or the other."""
+        at, n = self.segs.seed_at[self.pairs.at], self.gram + self.half
+        top = max(0, len(self.data) - n)
+        return tuple(hash_rows(gather(self.data, np.clip(x, 0, top), n)) if len(at) else np.zeros(0, np.uint64) for x in (at - self.half, at))
+
+    def open_suffixes(self, verdict: np.ndarray):
+        """Pair, place and bytes of every window that is still open."""
+        seg = self.pairs.at
+        first, last, mid = self.segs.first[seg], self.segs.last[seg], self.segs.seed_at[seg] - self.half
+        # up to mid a window has the seed's left context, beyond it the right one
+        lo, hi = np.where(verdict & EDGE_LEFT, first, np.maximum(first, mid + 1)), np.where(verdict & EDGE_RIGHT, last, np.minimum(last, mid))
+        n = np.where(verdict & (EDGE_LEFT | EDGE_RIGHT), np.maximum(0, hi - lo + 1), 0)
+        at = each_window(lo, n)
+        return np.repeat(np.arange(len(seg)), n), at, gather(self.data, at, self.window)
+
+
+#: Verdicts: a whole repeat, or windows open on one side of the seed or the other.
+EDGE_LEFT, EDGE_RIGHT = 2, 4
+
+
+def _rows(out) -> pa.Table:
+    cols = list(zip(*out, strict=True)) or [[], [], [], []]
+    return pa.table({"block": pa.array(cols[0], pa.int64()), "key": pa.array(cols[1], pa.int64()), "kind": pa.array(cols[2], pa.int32()), "payload": pa.array(cols[3], pa.binary())})
+
+
+def _in_order(said: pa.Table, kind: int) -> list[bytes]:
+    return [r["payload"] for r in sorted(said.to_pylist(), key=lambda r: r["key"]) if r["kind"] == kind]
+
+
+def _array(said: pa.Table, kind: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint8), *(unpack(x, np.uint8)[0] for x in _in_order(said, kind))])
+
+
+def _answers(rows: list[dict], kind: int, said: np.ndarray, sizes: list[int]) -> pa.Table:
+    """To each block, what was found on the entries that it sent."""
+    cut = np.cumsum([0, *sizes])
+    return _rows([(r["block"], r["key"], kind, pack(said[a:z].astype(np.uint8))) for r, a, z in zip(rows, cut, cut[1:], strict=False)])
 
 
 def _send_seeds(window: int, buckets: int):
     def run(key, docs):
-        b = _Block(docs, window)
-        p, edges, out = b.pairs, bucket_edges(b.pairs.seed, buckets), []
-        for k in range(buckets):
-            lo, hi = edges[k], edges[k + 1]
-            if hi > lo:
-                out.append((key[0].as_py(), k, 0, pack(p.seed[lo:hi], p.body[lo:hi], p.doc[lo:hi])))
-        return _rows(out)
+        b = _Block(docs, window, buckets)
+        mark, _, _ = b.marks()
+        edges = np.searchsorted(mark, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
+        return _rows([(key[0].as_py(), k, SHARED, pack(np.diff(mark[lo:hi].astype(np.uint32), prepend=np.uint32(0)))) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if hi > lo])
 
     return run
 
 
-def _rows(out) -> pa.Table:
-    cols = list(zip(*out, strict=True)) or [[], [], [], []]
-    return pa.table({"block": pa.array(cols[0], pa.int64()), "key": pa.array(cols[1], pa.int64()), "kind": pa.array(cols[2], pa.int32()), "payload": pa.array(cols[3], pa.binary())})
-
-
 def _judge_seeds(key, sent):
     rows = sent.to_pylist()
-    got = [unpack(r["payload"], np.uint64, np.uint64, np.int64) for r in rows]
-    verdict, _ = judge(*(np.concatenate([g[i] for g in got]) for i in range(3)))
-    cut = np.cumsum([0, *(len(g[0]) for g in got)])
-    return _rows([(r["block"], key[0].as_py(), 0, pack(verdict[cut[i] : cut[i + 1]])) for i, r in enumerate(rows)])
+    got = [np.cumsum(unpack(r["payload"], np.uint32)[0], dtype=np.uint32) for r in rows]
+    marks = np.concatenate(got)
+    order = np.argsort(marks)
+    new = changes(order, marks)
+    n = np.diff(np.concatenate((np.flatnonzero(new), [len(order)])))
+    again = np.empty(len(marks), bool)
+    again[order] = (n > 1)[np.cumsum(new) - 1]
+    return _answers(rows, SHARED, again, [len(g) for g in got])
 
 
-def _in_order(said: pa.Table, kind: int) -> list[bytes]:
-    return [r["payload"] for r in sorted(said.to_pylist(), key=lambda r: r["key"]) if r["kind"] == kind]
+def _send_segments(window: int, buckets: int):
+    def run(key, docs, said):
+        if not docs.num_rows:
+            return _rows([])
+        b, block, shared = _Block(docs, window, buckets), key[0].as_py(), _array(said, SHARED)
+        b.shared_pairs(shared > 0)
+        p, (left, right), edges = b.pairs, b.contexts(), bucket_edges(b.pairs.seed, buckets)
+        out = [(block, -1 - block, SHARED, pack(shared))]
+        for k, c in enumerate(map(slice, edges, edges[1:])):
+            if c.stop > c.start:
+                out.append((block, k, VERDICT, pack(p.seed[c], p.body[c], left[c].astype(np.uint32), right[c].astype(np.uint32), p.doc[c])))
+        return _rows(out)
+
+    return run
+
+
+def _judge_segments(key, sent):
+    if key[0].as_py() < 0:
+        return sent.select(["block", "key", "kind", "payload"])
+    rows = sent.to_pylist()
+    got = [unpack(r["payload"], np.uint64, np.uint64, np.uint32, np.uint32, np.int64) for r in rows]
+    seed, body, left, right, doc = (np.concatenate([g[i] for g in got]) for i in range(5))
+    verdict, _ = judge(seed, body, doc)
+    open_ = EDGE_LEFT * several(seed, left, what=body) + EDGE_RIGHT * several(seed, right, what=body)
+    return _answers(rows, VERDICT, np.where(verdict == REPEAT, REPEAT, open_), [len(g[0]) for g in got])
 
 
-def _send_suffixes(window: int, splitters: list[bytes]):
+def _send_suffixes(window: int, buckets: int, splitters: list[bytes]):
     def run(key, docs, said):
         if not docs.num_rows:
             return _rows([])
-        b, block = _Block(docs, window), key[0].as_py()
-        verdict = np.concatenate([np.zeros(0, np.uint8), *(unpack(x, np.uint8)[0] for x in _in_order(said, 0))])
-        out = [(block, -1 - block, 0, pack(verdict))]
-        pair, _, strings = b.edge_suffixes(verdict)
+        b, block = _Block(docs, window, buckets), key[0].as_py()
+        shared, verdict = _array(said, SHARED), _array(said, VERDICT)
+        b.shared_pairs(shared > 0)
+        out = [(block, -1 - block, SHARED, pack(shared)), (block, -1 - block, VERDICT, pack(verdict))]
+        pair, _, strings = b.open_suffixes(verdict)
         order, run_of, least = suffix_runs(strings, b.pairs.doc[pair])
         if len(order):
             strings = strings[order[np.concatenate(([True], run_of[1:] != run_of[:-1]))]]
-            lo = 0
-            for k in range(len(splitters) + 1):
-                hi = _place(strings, splitters[k]) if k < len(splitters) else len(strings)
+            cuts = [0, *(_place(strings, x) for x in splitters), len(strings)]
+            for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
                 if hi > lo:
-                    out.append((block, k, 1, pack(strings[lo:hi].reshape(-1), least[lo:hi])))
-                lo = max(lo, hi)
+                    out.append((block, k, SUFFIX, pack(strings[lo:hi].reshape(-1), least[lo:hi])))
         return _rows(out)
 
     return run
@@ -164,34 +208,32 @@ def _judge_suffixes(window: int):
         order, run_of, least = suffix_runs(np.concatenate([g[0] for g in got]).reshape(-1, window), doc)
         earlier = np.empty(len(doc), bool)
         earlier[order] = least[run_of] < doc[order]
-        cut = np.cumsum([0, *(len(g[1]) for g in got)])
-        return _rows([(r["block"], r["key"], 1, pack(earlier[cut[i] : cut[i + 1]].view(np.uint8))) for i, r in enumerate(rows)])
+        return _answers(rows, SUFFIX, earlier, [len(g[1]) for g in got])
 
     return run
 
 
-def _remove(window: int):
+def _remove(window: int, buckets: int):
     def run(key, docs, said):
-        b = _Block(docs, window)
-        verdict = np.concatenate([np.zeros(0, np.uint8), *(unpack(x, np.uint8)[0] for x in _in_order(said, 0))])
-        s, p = b.segs, b.pairs
-        gone = (verdict[p.of] == REPEAT) | (b.ids[s.row] > p.doc[p.of]) if len(s.first) else np.zeros(0, bool)
-        starts, ends = [s.first[gone]], [s.last[gone] + window]
-        pair, at, strings = b.edge_suffixes(verdict)
+        b = _Block(docs, window, buckets)
+        verdict = _array(said, VERDICT)
+        b.shared_pairs(_array(said, SHARED) > 0)
+        s, p, which = b.segs, b.pairs, b.which
+        gone = (verdict[p.of] == REPEAT) | (b.doc[which] > p.doc[p.of])
+        starts, ends = [s.first[which[gone]]], [s.last[which[gone]] + window]
+        pair, at, strings = b.open_suffixes(verdict)
         if len(pair):
             order, run_of, least = suffix_runs(strings, p.doc[pair])
-            earlier = np.concatenate([unpack(x, np.uint8)[0] for x in _in_order(said, 1)])[run_of] > 0
             dup = np.empty(len(pair), bool)
-            dup[order] = earlier | (p.doc[pair][order] > least[run_of])
-            # the windows of a pair, for every segment of its document that has it
-            begin = np.full(len(p.seed), -1, np.int64)
-            begin[pair[::-1]] = np.arange(len(pair))[::-1]
-            mine = np.flatnonzero((verdict[p.of] == EDGE) & ~gone)
-            n = s.last[mine] - s.first[mine] + 1
-            within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            place = (np.repeat(s.first[mine], n) + within)[dup[np.repeat(begin[p.of[mine]], n) + within]]
-            starts.append(place)
-            ends.append(place + window)
+            dup[order] = (_array(said, SUFFIX)[run_of] > 0) | (p.doc[pair][order] > least[run_of])
+            # a pair's windows, for every segment of its document that has it
+            begin, count = np.searchsorted(pair, np.arange(len(p.seed))), np.bincount(pair, minlength=len(p.seed))
+            mine = np.flatnonzero(~gone)
+            n = count[p.of[mine]]
+            source = each_window(begin[p.of[mine]], n)
+            place = at[source] + np.repeat(s.first[which[mine]] - s.first[p.at[p.of[mine]]], n)
+            starts.append(place[dup[source]])
+            ends.append(place[dup[source]] + window)
         mask = covered(len(b.data), np.concatenate(starts), np.concatenate(ends))
         return _result(b, mask)
 
@@ -224,9 +266,13 @@ def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = sorted({bytes(r["s"]) for r in sample.collect()})
     splitters = sorted({found[len(found) * k // buckets] for k in range(1, buckets)}) if found else []
     d = base.withColumn("block", F.pmod(put, F.lit(blocks)))
-    seeds = d.groupBy("block").applyInArrow(_send_seeds(window, buckets), _EXCHANGE)
-    judged = seeds.groupBy("key").applyInArrow(_judge_seeds, _EXCHANGE)
-    suffixes = d.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(_send_suffixes(window, splitters), _EXCHANGE)
-    settled = suffixes.groupBy("key").applyInArrow(_judge_suffixes(window), _EXCHANGE)
-    out = d.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(_remove(window), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    stay = (window, buckets)
+
+    def ask(said, send):
+        return d.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(send, _EXCHANGE).groupBy("key")
+
+    shared = d.groupBy("block").applyInArrow(_send_seeds(*stay), _EXCHANGE).groupBy("key").applyInArrow(_judge_seeds, _EXCHANGE)
+    judged = ask(shared, _send_segments(*stay)).applyInArrow(_judge_segments, _EXCHANGE)
+    settled = ask(judged, _send_suffixes(*stay, splitters)).applyInArrow(_judge_suffixes(window), _EXCHANGE)
+    out = d.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(_remove(*stay), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))

@@ -2,14 +2,14 @@
 
 Every window is owned by its smallest seed (a gram of K tokens, by hash, leftmost on ties): equal windows have equal
 seeds, wherever they stand. Consecutive windows with one owner form a segment, about one for every (W-K)/2 tokens, and
-only segments are exchanged, as packed arrays between blocks of documents and buckets of seeds:
+only segments are exchanged, as packed arrays between blocks of documents and buckets of seeds. The verdicts:
 
-  blocks -> buckets: each distinct (seed, segment) of a block with its smallest document
-  buckets -> blocks: LONE   no other segment anywhere has the seed: none of its windows is repeated
-                     REPEAT a document with a smaller id has the whole segment
-                     EDGE   others share the seed but not the segment: its windows are compared one by one
+  LONE   no other segment anywhere has the seed: none of its windows is repeated
+  REPEAT a document with a smaller id has the whole segment
+  EDGE   others share the seed but not the segment: its windows are compared one by one, as each operator does it
 
-How EDGE windows are compared is left to the operator. A key held by many documents costs one entry a block.
+A block sends a distinct segment once, with its smallest document, so a key that a third of all documents hold costs one
+entry a block.
 """
 
 from __future__ import annotations
@@ -23,22 +23,24 @@ from .common import mix
 LONE, REPEAT, EDGE = 0, 1, 2
 #: Tokens hashed at a time; a longer document is taken whole.
 CHUNK = 1 << 20
-_M = np.uint64(0xF1357AEA2E62A9C5)
+_M = 0xEA2E62A9
+_C = np.uint64(0xF1357AEA2E62A9C5)
 
 
 def rolling(tokens: np.ndarray, length: int) -> np.ndarray:
-    """Polynomial hash (mod 2**64) of every run of `length` tokens, by doubling."""
+    """Polynomial hash, in the tokens' own unsigned type, of every run of `length` tokens, by doubling."""
+    bits, kind = tokens.dtype.itemsize * 8, tokens.dtype.type
     n = len(tokens) - length + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, tokens.dtype)
     out, have, power, size, p = None, 0, tokens, 1, _M
     while True:
         if length & size:
-            out, have = (power, size) if out is None else (out[: len(out) - size] * p + power[have : have + len(out) - size], have + size)
+            out, have = (power, size) if out is None else (out[: len(out) - size] * kind(p) + power[have : have + len(out) - size], have + size)
         if size * 2 > length:
-            return mix(out[:n])
-        power = power[:-size] * p + power[size:]
-        p, size = p * p, size * 2
+            return out[:n]
+        power = power[:-size] * kind(p) + power[size:]
+        p, size = p * p % (1 << bits), size * 2
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -49,53 +51,119 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - size : width - size + n])
 
 
+def gather(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The runs of `length` tokens that start at the given places."""
+    return np.lib.stride_tricks.sliding_window_view(data, length)[at] if len(at) else np.zeros((0, length), data.dtype)
+
+
+def words_of(rows: np.ndarray) -> np.ndarray:
+    """Rows of bytes as big-endian 64-bit words, so that words compare as the bytes do; rows of 64-bit tokens as is."""
+    if rows.dtype != np.uint8:
+        return rows
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    return wide.view(">u8").astype(np.uint64)
+
+
+def hash_rows(rows: np.ndarray) -> np.ndarray:
+    """64-bit hash of each row of tokens."""
+    h = np.full(len(rows), rows.shape[1], np.uint64)
+    for k, w in enumerate(words_of(rows).T):
+        h = (h ^ w) * _C + np.uint64(k)
+        h ^= h >> np.uint64(32)
+    return mix(h)
+
+
+def multikey_order(*keys: np.ndarray) -> np.ndarray:
+    """Multikey quicksort: order by the first key, then only what ties by the next, and so on."""
+    order = np.argsort(keys[0])
+    first = keys[0][order]
+    tie = first[1:] == first[:-1]
+    for key in keys[1:]:
+        if not tie.any():
+            break
+        inside = np.concatenate((tie, [False])) | np.concatenate(([False], tie))
+        at = np.flatnonzero(inside)
+        group = np.cumsum(np.concatenate(([True], ~tie)))[at]
+        sel = order[at]
+        sel = sel[np.lexsort((key[sel], group))]
+        order[at] = sel
+        near = at[1:] == at[:-1] + 1
+        same = np.zeros(len(tie), bool)
+        same[at[:-1][near]] = (key[sel[1:]] == key[sel[:-1]])[near]
+        tie = tie & same
+    return order
+
+
+def changes(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """True where a new run of equal keys begins in the order."""
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = False
+        for k in keys:
+            s = k[order]
+            new[1:] |= s[1:] != s[:-1]
+    return new
+
+
 @dataclass
 class Segments:
-    """Of one block, in order of place: first and last window start (in the block's tokens), document row, and hashes."""
+    """Of one block, in order of place: first and last window start and the seed's place (in the block's tokens), and
+    the document row."""
 
     first: np.ndarray
     last: np.ndarray
+    seed_at: np.ndarray
     row: np.ndarray
-    seed: np.ndarray
-    body: np.ndarray
 
 
 def segments(tokens: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> Segments:
-    """tokens: uint64 hashes of the tokens of all documents of a block; offsets: where each row begins."""
-    parts, lo = [], 0
-    rows = len(offsets) - 1
+    """tokens: 32-bit hashes of the tokens of all documents of a block; offsets: where each row begins."""
+    parts, lo, rows = [], 0, len(offsets) - 1
     while lo < rows:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
-        parts.append(_segments(tokens[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], window, gram, int(offsets[lo]), lo))
+        part = _segments(tokens[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], window, gram)
+        parts.append([x + offsets[lo] for x in part])
         lo = hi
-    return Segments(*(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, d) for i, d in enumerate((np.int64, np.int64, np.int64, np.uint64, np.uint64))))
+    first, last, at = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in parts)]) for i in range(3))
+    return Segments(first, last, at, np.searchsorted(offsets, first, "right") - 1)
 
 
-def _segments(tokens, offsets, window, gram, base, row0):
+def _segments(tokens, offsets, window, gram):
     n = len(tokens) - window + 1
     if n <= 0:
-        return [np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64)]
-    seeds = rolling(tokens, gram)
-    low = np.uint64(0xFFFFFFFF)
-    owner = sliding_min((seeds & ~low) | np.arange(len(seeds), dtype=np.uint64), window - gram + 1)[:n] & low
-    whole = rolling(tokens, window)
-    lens = np.diff(offsets)
-    row = np.repeat(np.arange(len(lens)), lens)[:n]
-    ok = np.arange(n) + window <= np.repeat(offsets[1:], lens)[:n]
-    at = np.flatnonzero(ok)
-    if not len(at):
-        return [np.zeros(0, d) for d in (np.int64, np.int64, np.int64, np.uint64, np.uint64)]
-    own, r = owner[at], row[at]
-    new = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (r[1:] != r[:-1]))))
-    first, last = at[new], at[np.concatenate((new[1:] - 1, [len(at) - 1]))]
-    seed = seeds[own[new].astype(np.int64)]
-    body = mix(whole[first] + mix(whole[last] * _M + (last - first).astype(np.uint64)))
-    return first + base, last + base, r[new] + row0, seed, body
+        return [np.zeros(0, np.int64)] * 3
+    key = (rolling(tokens, gram) * np.uint32(0x9E3779B1)).astype(np.uint64) << np.uint64(32)
+    key |= np.arange(len(key), dtype=np.uint64)
+    owner = sliding_min(key, window - gram + 1).astype(np.uint32)  # the low half: the place
+    ok = np.ones(n, bool)
+    over = (offsets[1:-1, None] - np.arange(1, window)).reshape(-1)  # windows that would cross into the next document
+    ok[over[(over >= 0) & (over < n)]] = False
+    new = ok.copy()
+    new[1:] &= (owner[1:] != owner[:-1]) | ~ok[:-1]
+    first = np.flatnonzero(new)
+    end = ok.copy()
+    end[:-1] &= new[1:] | ~ok[1:]
+    return [first, np.flatnonzero(end), owner[first].astype(np.int64)]
+
+
+def segment_hashes(data: np.ndarray, s: Segments, which: np.ndarray, window: int, step: int = 1 << 17) -> np.ndarray:
+    """Hash of the whole of each of the given segments: its first and last window overlap, so they tell it all."""
+    out = [np.zeros(0, np.uint64)]
+    for i in range(0, len(which), step):
+        w = which[i : i + step]
+        a, z = s.first[w], s.last[w]
+        out.append(mix(hash_rows(gather(data, a, window)) + mix(hash_rows(gather(data, z, window)) * _C + (z - a).astype(np.uint64))))
+    return np.concatenate(out)
+
+
+def seed_hashes(data: np.ndarray, s: Segments, gram: int, step: int = 1 << 18) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint64), *(hash_rows(gather(data, s.seed_at[i : i + step], gram)) for i in range(0, len(s.first), step))])
 
 
 @dataclass
 class Distinct:
-    """The distinct (seed, segment) pairs of a block, ordered by seed; of: the pair of each segment."""
+    """The distinct (seed, segment) pairs among some segments, ordered; of: the pair of each segment."""
 
     seed: np.ndarray
     body: np.ndarray
@@ -104,15 +172,13 @@ class Distinct:
     of: np.ndarray
 
 
-def distinct(s: Segments, doc_ids: np.ndarray) -> Distinct:
-    doc = doc_ids[s.row] if len(s.row) else np.zeros(0, np.int64)
-    order = np.lexsort((doc, s.body, s.seed))
-    seed, body = s.seed[order], s.body[order]
-    new = np.concatenate(([True], (seed[1:] != seed[:-1]) | (body[1:] != body[:-1]))) if len(order) else np.zeros(0, bool)
+def distinct(seed: np.ndarray, body: np.ndarray, doc: np.ndarray, which: np.ndarray) -> Distinct:
+    order = multikey_order(seed, body, doc)
+    new = changes(order, seed, body)
     of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(new) - 1
     head = order[new]
-    return Distinct(seed[new], body[new], doc[head], head, of)
+    return Distinct(seed[head], body[head], doc[head], which[head], of)
 
 
 def bucket_edges(seed: np.ndarray, buckets: int) -> np.ndarray:
@@ -126,13 +192,27 @@ def judge(seed: np.ndarray, body: np.ndarray, doc: np.ndarray) -> tuple[np.ndarr
     n = len(seed)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(0, np.int64)
-    order = np.lexsort((doc, body, seed))
-    s, b, d = seed[order], body[order], doc[order]
-    new_s = np.concatenate(([True], s[1:] != s[:-1]))
-    new_b = new_s | np.concatenate(([True], b[1:] != b[:-1]))
-    head = np.flatnonzero(new_b)[np.cumsum(new_b) - 1]
+    order = multikey_order(seed, body, doc)
+    new_s, new_b = changes(order, seed), changes(order, seed, body)
+    head = order[np.flatnonzero(new_b)[np.cumsum(new_b) - 1]]
     kinds = np.add.reduceat(new_b.astype(np.int64), np.flatnonzero(new_s))[np.cumsum(new_s) - 1]
     verdict, first = np.empty(n, np.uint8), np.empty(n, np.int64)
-    verdict[order] = np.where(d > d[head], REPEAT, np.where(kinds > 1, EDGE, LONE))
-    first[order] = order[head]
+    verdict[order] = np.where(doc[order] > doc[head], REPEAT, np.where(kinds > 1, EDGE, LONE))
+    first[order] = head
     return verdict, first
+
+
+def several(*keys: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """Whether an entry's keys go with more than one value of `what`."""
+    out = np.zeros(len(what), bool)
+    if len(what):
+        order = multikey_order(*keys, what)
+        new = changes(order, *keys)
+        n = np.add.reduceat(changes(order, *keys, what).astype(np.int64), np.flatnonzero(new))
+        out[order] = (n > 1)[np.cumsum(new) - 1]
+    return out
+
+
+def each_window(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Places first, first+1, ... of each entry, one after another."""
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
