@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .simhash_lsh import simhash_near_duplicates
 from .substring_dedup import rlz_dedup
 from .suffix_dedup import suffix_array_dedup
 
@@ -22,5 +23,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", F.expr(_REMOVED).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), F.size("factors").cast("long").alias("n_factors"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup)}
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash_near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op5_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
