@@ -241,7 +241,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             sets = [word_shingles(content_words(t)).tobytes() for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("head"), b.column("part"), b.column("n"), pa.array(sets, pa.binary())], ["head", "part", "n", "shingles"])
 
-    held = alone.join(base, alone.head == base.doc_id).dropDuplicates(["head"]).select("head", "part", "n", "text").mapInArrow(shingle, "head long, part long, n long, shingles binary")
+    held = alone.join(base, alone["head"] == base.doc_id).dropDuplicates(["head"]).select("head", "part", "n", "text").mapInArrow(shingle, "head long, part long, n long, shingles binary")
     left, links = cut_lineage(held), None
 
     def compare(key, texts):
@@ -270,5 +270,5 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         if left.isEmpty():
             break
     roots = connected(links)
-    groups = classes.join(roots, classes.head == roots.node, "left").select("words", F.coalesce("root", "head").alias("group_id"))
+    groups = classes.join(roots, classes["head"] == roots.node, "left").select("words", F.coalesce("root", "head").alias("group_id"))
     return marked.select("doc_id", "words").join(groups, "words").select("doc_id", "group_id")
