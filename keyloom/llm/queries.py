@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .rans_tokens import checksums, encode_and_read_back
 from .simhash_lsh import simhash_near_duplicates
+from .stock_packing import pack_documents
 from .substring_dedup import rlz_dedup
 from .suffix_dedup import suffix_array_dedup
 
@@ -28,5 +30,13 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op5_simhash_near_dedup)}
+def op6_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checksums(encode_and_read_back(table(spark, sf_dir, "documents"), end_id=2))
+
+
+def op10_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), length=1024, end_id=0)
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op5_simhash_near_dedup, op6_rans_tokens, op10_stock_packing)}
 ORACLE_SQL: dict[str, str] = {}
