@@ -47,7 +47,9 @@ class Corrupt(ValueError):
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids that occur and their shares of 2**BITS, at least one each."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    counts = np.bincount(ids)
+    symbols = np.flatnonzero(counts)
+    counts = counts[symbols]
     total = 1 << BITS
     if len(symbols) > total:
         raise ValueError("more distinct ids than units of probability")
@@ -72,7 +74,9 @@ def encode_segment(docs: list[tuple[int, np.ndarray]]) -> bytes:
     freq = share.astype(np.uint64)
     blocks, steps = -(-n // BLOCK), BLOCK // LANES
     code = np.zeros(blocks * BLOCK, np.uint32)
-    code[:n] = np.searchsorted(symbols, ids)
+    place = np.zeros(int(symbols[-1]) + 1, np.uint32)
+    place[symbols] = np.arange(len(symbols), dtype=np.uint32)
+    code[:n] = place[ids]
     code = code.reshape(blocks, steps, LANES)
     real = (np.arange(blocks * BLOCK) < n).reshape(blocks, steps, LANES)
     x = np.full((blocks, LANES), 1 << 16, np.uint64)
