@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ads_ann import nearest_neighbours
 from .common import table
 from .rans_tokens import checksums, encode_and_read_back
 from .simhash_lsh import simhash_near_duplicates
 from .stock_packing import pack_documents
 from .substring_dedup import rlz_dedup
 from .suffix_dedup import suffix_array_dedup
+from .url_cascade import judge_urls
 
 _REMOVED = "aggregate(spans, 0L, (n, s) -> n + s.end - s.start)"
 
@@ -38,5 +40,30 @@ def op10_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), length=1024, end_id=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op5_simhash_near_dedup, op6_rans_tokens, op10_stock_packing)}
-ORACLE_SQL: dict[str, str] = {}
+def op8_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op9_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+_OP9_SQL = """
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM cut),
+urls AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM parts),
+rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+fits AS (SELECT u.page_id, u.host, u.path, r.h || r.p AS rule, r.verdict,
+         row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.h || r.p) DESC, length(r.h) DESC) AS n
+         FROM urls u JOIN rules r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p))
+SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM urls u LEFT JOIN (SELECT * FROM fits WHERE n = 1) f ON u.page_id = f.page_id
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op5_simhash_near_dedup, op6_rans_tokens, op8_adaptive_scan, op9_url_cascade, op10_stock_packing)}
+ORACLE_SQL: dict[str, str] = {"op9_url_cascade": _OP9_SQL}
