@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .ads_ann import nearest_neighbours
 from .common import table
-from .rans_tokens import checksums, encode_and_read_back
+from .rans_tokens import encode_and_read_back, read_checksums
 from .simhash_lsh import simhash_near_duplicates
 from .stock_packing import pack_documents
 from .substring_dedup import rlz_dedup
@@ -33,7 +33,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checksums(encode_and_read_back(table(spark, sf_dir, "documents"), end_id=2))
+    return encode_and_read_back(table(spark, sf_dir, "documents"), end_id=2, read=read_checksums)
 
 
 def op10_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,41 +178,46 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc
     in_order.mapInArrow(run, "file long, segment long, before long, n_tokens long, payload binary").write.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it) and ids of every document in the files at the path."""
+def _read(spark: SparkSession, path: str, columns, schema: str) -> DataFrame:
+    """columns: of each document's place among a segment's ids, and the ids, the columns after doc_id and start."""
     segments = spark.read.schema("file long, segment long, before long, n_tokens long, payload binary").parquet(path)
     totals = sorted((r[0], r[1]) for r in segments.groupBy("file").agg(F.sum("n_tokens")).collect())  # two numbers a file
     base, at = {}, 0
     for file, n in totals:
         base[file], at = at, at + n
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         for b in batches:
             for file, before, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 doc, n, ids = decode_segment(data)
                 first = np.cumsum(n) - n
-                offsets = pa.array(np.append(first, len(ids)), pa.int32())
-                yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(first + (base[file] + before)), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], ["doc_id", "start", "ids"])
+                yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(first + (base[file] + before)), *columns(first, n, ids)], names)
 
-    out = segments.select("file", "before", "payload").mapInArrow(run, "doc_id long, start long, ids array<int>")
+    out = segments.select("file", "before", "payload").mapInArrow(run, schema)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 
 
-def checksums(tokens: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of what read_tokens() gives."""
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it) and ids of every document in the files at the path."""
 
-    def run(batches):
-        for b in batches:
-            ids = b.column(2)
-            off = ids.offsets.to_numpy()
-            flat = ids.values.to_numpy()
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(np.diff(off).astype(np.int64)), pa.array([zlib.crc32(flat[i:j]) for i, j in zip(off, off[1:], strict=False)], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+    def columns(first, n, ids):
+        return [pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int32()), pa.array(ids.astype(np.int32)))]
+
+    return _read(spark, path, columns, "doc_id long, start long, ids array<int>")
+
+
+def read_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document in the files: the ids themselves stay in the task."""
+
+    def columns(first, n, ids):
+        return [pa.array(n.astype(np.int64)), pa.array([zlib.crc32(ids[i : i + k]) for i, k in zip(first.tolist(), n.tolist(), strict=True)], pa.int64())]
 
-    return tokens.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _read(spark, path, columns, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def encode_and_read_back(docs: DataFrame, end_id: int = 2, **vocab) -> DataFrame:
+def encode_and_read_back(docs: DataFrame, end_id: int = 2, read=read_tokens, **vocab) -> DataFrame:
     """Writes the files in the shared folder and gives what they hold."""
     path = shared_folder(docs.sparkSession, "tokens")
     write_tokens(docs, path, end_id, **vocab)
-    return read_tokens(docs.sparkSession, path)
+    return read(docs.sparkSession, path)
