@@ -47,7 +47,7 @@ def test_files(spark):
     docs = [(7, None), (None, "last"), (3, "one two"), (3, "one two"), *((100 + i, x) for i, x in enumerate(ODD))]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = R.encode_and_read_back(df, read=R.read_checksums).collect()
-    ids = {x.start: x.ids for x in R.encode_and_read_back(df).collect()}
+    back = {x.start: x.ids for x in R.encode_and_read_back(df).collect()}
     want, at = [], 0
     t = Tokenizer.from_file(V["vocab"])
     for i, x in sorted(docs, key=lambda d: (d[0] is None, d[0] or 0)):
@@ -55,5 +55,5 @@ def test_files(spark):
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert sorted(map(tuple, got), key=lambda g: g[1]) == want
-    assert [(len(ids[g[1]]), zlib.crc32(np.array(ids[g[1]], "<u4").tobytes())) for g in want] == [g[2:] for g in want]
+    assert [(len(back[g[1]]), zlib.crc32(np.array(back[g[1]], "<u4").tobytes())) for g in want] == [g[2:] for g in want]
     assert R.encode_and_read_back(spark.createDataFrame([], "doc_id long, text string")).count() == 0
