@@ -1,13 +1,60 @@
-"""From raw documents to packed sequences, one operator of keyloom.llm to a stage."""
+"""From raw documents to packed sequences: STAGES of (name, function), each calling one operator of keyloom.llm.
+
+A function takes (spark, docs, sf_dir) and returns a DataFrame, the next one's docs. All but the last return the columns
+of documents. Each works on all that its predecessor kept.
+
+Defined cases: the operators' own; of rows that share an id near_dedup keeps one; an empty table runs through empty.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import functions as F
+
+from keyloom.llm.common import table
+from keyloom.llm.decontaminate import contamination
+from keyloom.llm.pii_feistel import pseudonymise
+from keyloom.llm.quality_rules import score_quality
+from keyloom.llm.queries import PII_KEY
+from keyloom.llm.simhash_lsh import near_duplicate_groups
+from keyloom.llm.stock_packing import pack_documents
+
+
+def quality(spark, docs, sf_dir):
+    """Documents that the rule ensemble predicts to be of label 1."""
+    scored = score_quality(docs, table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 1").select(docs.columns)
+
+
+def near_dedup(spark, docs, sf_dir):
+    """One document of each group of copies and near copies: the one with the smallest id."""
+    stay = near_duplicate_groups(docs).where("doc_id <=> group_id").select(F.col("doc_id").alias("_stay")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def decontamination(spark, docs, sf_dir):
+    """Documents without a benchmark passage, verbatim or re-parameterised."""
+    found = contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_found")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
+
+
+def pii(spark, docs, sf_dir):
+    """All documents, with pseudonyms in place of personal data."""
+    return pseudonymise(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def packing(spark, docs, sf_dir):
+    """Pieces of the documents and their places in sequences of 1024 tokens."""
+    return pack_documents(docs, length=1024, end_id=0)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("packing", packing)]
+
+#: Tokens, fingerprints and keyed permutations have no SQL: tests/llm hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

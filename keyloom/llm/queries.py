@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .ads_ann import nearest_neighbours
 from .common import table
+from .decontaminate import decontaminate
+from .pii_feistel import pseudonymise
+from .quality_rules import held_out, score_quality
 from .rans_tokens import encode_and_read_back, read_checksums
 from .simhash_lsh import simhash_near_duplicates
 from .stock_packing import pack_documents
@@ -65,5 +68,23 @@ FROM urls u LEFT JOIN (SELECT * FROM fits WHERE n = 1) f ON u.page_id = f.page_i
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op5_simhash_near_dedup, op6_rans_tokens, op8_adaptive_scan, op9_url_cascade, op10_stock_packing)}
+def op3_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+#: The key is a parameter; a real one comes from the caller, not from here.
+PII_KEY = "example-key"
+
+
+def op7_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+    return out.select("doc_id", "text", "n_replaced")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_template_decontamination, op4_quality_rules, op5_simhash_near_dedup, op6_rans_tokens, op7_pii_feistel, op8_adaptive_scan, op9_url_cascade, op10_stock_packing)}
 ORACLE_SQL: dict[str, str] = {"op9_url_cascade": _OP9_SQL}
