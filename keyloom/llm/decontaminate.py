@@ -7,7 +7,7 @@ a value of the item has to stand for one value of the document throughout (the m
 windows that break this don't count. A document is contaminated if it has 0.8 or more of an item's windows, so copies with
 other numbers and names are found as well as verbatim ones.
 
-All is built-in functions. Documents' windows are exploded as (hash, values), never grouped by hash; the benchmark's are
+All is built-in functions. Documents' windows are exploded as hashes, never grouped by hash; the benchmark's are
 broadcast after their count is checked, and joined by shuffle beyond it.
 
 Defined cases: null and empty texts have no windows and are clean; items of fewer than five tokens, and windows of
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import cut_lineage
+
 WINDOW, CONTAINMENT = 5, 0.8
 #: Benchmark windows that are broadcast at most (about 60 bytes each).
 BROADCAST_ROWS = 1_000_000
@@ -30,52 +32,73 @@ UNITS = "mm cm m km kg g mg lb lbs oz ft in mi mph kmh km/h s sec min h hr hrs h
 _NAME, _UNIT, _SEP = "\u0002", "\u0003", "\u0004"
 
 
-def _marked(text: Column) -> Column:
-    plain = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), f"[{_NAME}{_UNIT}{_SEP}]", " ")
-    names = F.regexp_replace(plain, r"(?<=[\p{L}\p{N},;:]\s)(\p{Lu}\p{Ll})", f"{_NAME}$1")
+def _tokens(text: Column) -> Column:
+    """Lower-cased words, with a mark before names and before units."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    marked = t.contains(_NAME) | t.contains(_UNIT) | t.contains(_SEP)
+    plain = F.when(marked, F.regexp_replace(t, f"[{_NAME}{_UNIT}{_SEP}]", " ")).otherwise(t)
+    names = F.regexp_replace(plain, r"(\p{Lu})(?<=[\p{L}\p{N},;:]\s\p{Lu})(?=\p{Ll})", f"{_NAME}$1")
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    return F.regexp_replace(names, rf"(?<=\d\s?)((?:{units})(?![\p{{L}}\p{{N}}]))", f" {_UNIT}$1")
+    typed = F.regexp_replace(names, rf"(\d\s?)((?:{units})(?![\p{{L}}\p{{N}}]))", f"$1 {_UNIT}$2")
+    return F.array_remove(F.split(F.lower(typed), rf"[^\p{{L}}\p{{N}}{_NAME}{_UNIT}]+"), "")
+
+
+def _starts(token: Column, first: str, after: str) -> Column:
+    return (token >= first) & (token < after)
+
+
+def _typed(token: Column) -> Column:
+    return _starts(token, "0", ":") | _starts(token, _NAME, _SEP)
+
+
+def _canonical_hash(token: Column) -> Column:
+    """Of the token, or of its placeholder. Strings are compared byte by byte, so a range tells the first character."""
+    return F.when(_starts(token, "0", ":"), F.lit(1)).when(_starts(token, _NAME, _UNIT), F.lit(2)).when(_starts(token, _UNIT, _SEP), F.lit(3)).otherwise(F.xxhash64(token))
 
 
-def _canonical(token: Column) -> Column:
-    first = F.substring(token, 1, 1)
-    return F.when(first.between("0", "9"), F.lit("<num>")).when(first == _NAME, F.lit("<name>")).when(first == _UNIT, F.lit("<unit>")).otherwise(F.lower(token))
+def _slots(raw: Column, pos: Column, size: int) -> Column:
+    """Values behind the placeholders of a window, joined; null if there are none."""
+    values = F.filter(F.slice(raw, pos + 1, size), _typed)
+    return F.when(F.size(values) > 0, F.array_join(values, _SEP))
 
 
-def windows(texts: DataFrame, id_col: str, text_col: str, size: int = WINDOW) -> DataFrame:
-    """id, pos, h (hash of the canonical window), slots (the values behind its placeholders, or null)."""
-    t = texts.select(F.col(id_col).alias("id"), _marked(F.col(text_col)).alias("m"))
-    t = t.select("id", F.filter(F.split("m", rf"[^\p{{L}}\p{{N}}{_NAME}{_UNIT}]+"), lambda x: x != "").alias("raw")).where(F.size("raw") >= size)
-    t = t.select("id", "raw", F.transform("raw", _canonical).alias("canon"))
-    n = F.size("canon") - (size - 1)
+def _hashed(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col)
+    t = texts.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tid"), _tokens(text).alias("raw"))
+    return t.select("id", "tid", "raw", F.transform("raw", _canonical_hash).alias("th"))
 
-    def window(i):
-        canon, raw = F.slice("canon", i, size), F.slice("raw", i, size)
-        typed = F.exists(canon, lambda x: x.startswith("<"))
-        literal = F.exists(canon, lambda x: ~x.startswith("<"))
-        values = F.array_join(F.transform(F.filter(F.arrays_zip(canon.alias("c"), raw.alias("r")), lambda z: z["c"].startswith("<")), lambda z: z["r"]), _SEP)
-        return F.struct(F.when(literal, F.xxhash64(canon)).alias("h"), F.when(typed, values).alias("slots"))
 
-    every = t.where(F.size("raw") >= size).select("id", F.posexplode(F.transform(F.sequence(F.lit(1), n), window)).alias("pos", "z"))
-    return every.select("id", "pos", F.col("z.h").alias("h"), F.col("z.slots").alias("slots")).where("h IS NOT NULL")
+def _window_hashes(size: int) -> Column:
+    """Hash of every window; null where there is none. th is read many times, so it is worked out once."""
+    th, n = F.col("th"), F.size("th")
+    return F.when(n >= size, F.transform(F.sequence(F.lit(0), n - size), lambda i: F.xxhash64(*(th[i + k] for k in range(size)))))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, least: float = CONTAINMENT, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, matched (consistent windows of the item), windows (all of them), for every pair that reaches the
     containment."""
-    items = windows(benchmark, item_id, text_col, size).select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots")).distinct()
+    spread = _hashed(benchmark, item_id, text_col).select(F.col("id").alias("item_id"), "raw", F.posexplode(_window_hashes(size)).alias("item_pos", "h"))
+    literal = F.exists(F.slice("raw", F.col("item_pos") + 1, size), lambda x: ~_typed(x))
+    items = cut_lineage(spread.where(literal).select("item_id", "item_pos", "h", _slots(F.col("raw"), F.col("item_pos"), size).alias("item_slots")).distinct())
     totals = items.groupBy(F.col("item_id").alias("_of")).agg(F.countDistinct("item_pos").alias("windows"))
     side = F.broadcast(items) if items.count() <= BROADCAST_ROWS else items
-    hit = windows(docs, doc_id, text_col, size).join(side, "h").select(F.col("id").alias("doc_id"), "item_id", "item_pos", "slots", "item_slots").groupBy("doc_id", "item_id", "item_pos", "slots", "item_slots").agg(F.count("*").alias("n"))
+    every = _hashed(docs, doc_id, text_col).select("id", "tid", F.posexplode(_window_hashes(size)).alias("pos", "h"))
+    hit = cut_lineage(every.join(side, "h").select(F.col("id").alias("doc_id"), "tid", "pos", "item_id", "item_pos", "item_slots"))
     keys = ["doc_id", "item_id"]
-    pairs = F.arrays_zip(F.split("item_slots", _SEP).alias("a"), F.split("slots", _SEP).alias("b"))
-    # of each item value, the document's value that goes with it most often; few rows: those with placeholders only
-    votes = hit.where("slots IS NOT NULL").select(*keys, "n", F.explode(pairs).alias("p")).groupBy(*keys, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("n"))
+    # few rows: windows with placeholders only. Their documents are read again for the values.
+    typed = hit.where("item_slots IS NOT NULL")
+    wanted = typed.select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid")).distinct()
+    again = docs.select(F.col(doc_id).alias("_id"), F.col(text_col).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    again = again.join(wanted, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_tid"))).select("_doc", "_tid", "_text").dropDuplicates(["_doc", "_tid"]).select("_doc", "_tid", _tokens(F.col("_text")).alias("raw"))
+    valued = typed.join(again, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tid") == F.col("_tid")))
+    pairs = F.arrays_zip(F.split("item_slots", _SEP).alias("a"), F.split(_slots(F.col("raw"), F.col("pos"), size), _SEP).alias("b"))
+    valued = cut_lineage(valued.select(*keys, "item_pos", pairs.alias("pairs")))
+    votes = valued.select(*keys, F.explode("pairs").alias("p")).groupBy(*keys, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
     best = Window.partitionBy(*keys, "a").orderBy(F.desc("n"), "b")
     agreed = votes.withColumn("r", F.row_number().over(best)).where("r = 1").groupBy(F.col("doc_id").alias("_doc"), F.col("item_id").alias("_item")).agg(F.map_from_entries(F.collect_list(F.struct("a", "b"))).alias("agreed"))
-    typed = hit.where("slots IS NOT NULL").join(agreed, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("item_id").eqNullSafe(F.col("_item")), "left").select(*keys, "item_pos", pairs.alias("pairs"), "agreed")
-    sound = typed.where(F.forall("pairs", lambda p: F.coalesce(F.element_at(F.col("agreed"), p["a"]) == p["b"], F.lit(False)))).select(*keys, "item_pos")
-    matched = hit.where("slots IS NULL").select(*keys, "item_pos").unionAll(sound).distinct().groupBy(*keys).agg(F.count("*").alias("matched"))
+    held = valued.join(agreed, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("item_id").eqNullSafe(F.col("_item")), "left")
+    sound = held.where(F.forall("pairs", lambda p: F.coalesce(F.element_at(F.col("agreed"), p["a"]) == p["b"], F.lit(False)))).select(*keys, "item_pos")
+    matched = hit.where("item_slots IS NULL").select(*keys, "item_pos").unionAll(sound).distinct().groupBy(*keys).agg(F.count("*").alias("matched"))
     both = matched.join(totals, F.col("item_id").eqNullSafe(F.col("_of"))).select(*keys, "matched", "windows")
     return both.where(F.col("matched") >= F.col("windows") * F.lit(least))
 
