@@ -3,29 +3,487 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators import hashes as H
+from ..operators import lists as L
+from ..operators import others as O
+from ..operators import sets as S
+from ..operators import streams as X
+from ..operators import strings as T
+from ..operators import zsets as Z
+from ..sources import keyspace as K
+from . import fold
 
 QUERIES = {}
 ORACLE_SQL = {}
 
+# the keyspace in SQL, as common table expressions
+_CTE = {
+    "kv": "SELECT 'cust:' || c_custkey AS key, c_name AS value FROM customer",
+    "hf": "SELECT 'cust:' || c_custkey AS key, unnest(['name', 'nation', 'segment']) AS field, unnest([c_name, CAST(c_nationkey AS VARCHAR), c_mktsegment]) AS value FROM customer",
+    "le": "SELECT 'order:' || l_orderkey AS key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS pos, CAST(l_partkey AS VARCHAR) AS value FROM lineitem",
+    "ln": "SELECT key, pos, value, count(*) OVER (PARTITION BY key) AS n FROM le",
+    "sm": "SELECT DISTINCT 'supp:' || l_suppkey AS key, CAST(l_partkey AS VARCHAR) AS member FROM lineitem",
+    "zm": "SELECT 'user:' || o_custkey AS key, CAST(o_orderkey AS VARCHAR) AS member, o_totalprice AS score FROM orders",
+    "zr": "SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, member) - 1 AS rank, row_number() OVER (PARTITION BY key ORDER BY score DESC, member DESC) - 1 AS rev FROM zm",
+    "xs": "SELECT event_type AS key, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY event_type, epoch_us(ts) // 1000 ORDER BY event_id) - 1 AS seq, event_id, value FROM events",
+    "jd": "SELECT 'ev:' || event_id AS key, props AS doc FROM events",
+    "geo": "SELECT 'nation:' || c_nationkey AS key, CAST(c_custkey AS VARCHAR) AS member, (c_custkey * 37 % 36000) / 100.0 - 180 AS lng, (c_custkey * 53 % 17000) / 100.0 - 85 AS lat FROM customer",
+    "bits": "SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS key, user_id AS off FROM events",
+    "ex": "SELECT 'order:' || o_orderkey AS key, o_orderstatus AS value, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE epoch_us(o_orderdate) // 1000 + 2592000000 END AS expire_at_ms FROM orders",
+    "log": "SELECT event_id AS seq, epoch_us(ts) // 1000 AS ts_ms, 'u:' || user_id AS key, event_type AS cmd, value AS arg FROM events",
+}
+_NEEDS = {"ln": ["le"], "zr": ["zm"]}
+_NOW = 883_612_800_000  # 1998-01-01
+
 
-def query(sql=None):
+def query(sql=None, uses=""):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            names = list(dict.fromkeys(n for u in uses.split() for n in [*_NEEDS.get(u, []), u]))
+            ORACLE_SQL[f.__name__] = ("WITH " + ", ".join(f"{n} AS ({_CTE[n]})" for n in names) + " " if names else "") + sql
         return f
 
     return add
 
 
-@query(
-    """SELECT key, member, score, rank FROM (
-         SELECT 'user:' || o_custkey AS key, CAST(o_orderkey AS VARCHAR) AS member, o_totalprice AS score,
-                row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, CAST(o_orderkey AS VARCHAR) DESC) - 1 AS rank FROM orders)
-       WHERE rank < 3"""
-)
+@query("SELECT key, member, score, rev AS rank FROM zr WHERE rev < 3", "zr")
 def zset_zrevrange_top3(spark, d):
-    z = spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("user:"), F.col("o_custkey").cast("string")).alias("key"), F.col("o_orderkey").cast("string").alias("member"), F.col("o_totalprice").alias("score"))
-    w = Window.partitionBy("key").orderBy(F.desc("score"), F.desc("member"))
-    return z.withColumn("rank", (F.row_number().over(w) - 1).cast("long")).where("rank < 3")
+    return Z.zrange(K.zm(spark, d), 0, 2, reverse=True).select("key", "member", "score", "rank")
+
+
+# strings
+
+
+@query("SELECT key, octet_length(encode(value)) AS len FROM kv", "kv")
+def str_strlen(spark, d):
+    return T.strlen(K.kv(spark, d))
+
+
+@query("SELECT key, right(value, 4) AS value FROM kv", "kv")
+def str_getrange(spark, d):
+    return T.getrange(K.kv(spark, d), -4, -1)
+
+
+@query("SELECT w.ord, w.key, kv.value FROM (SELECT range AS ord, 'cust:' || (range * 7) AS key FROM range(500)) w LEFT JOIN kv ON w.key = kv.key", "kv")
+def str_mget(spark, d):
+    wanted = spark.range(500).select(F.col("id").alias("ord"), F.concat(F.lit("cust:"), (F.col("id") * 7).cast("string")).alias("key"))
+    return T.mget(K.kv(spark, d), wanted)
+
+
+@query("SELECT key, value || '!' AS value FROM kv", "kv")
+def str_append(spark, d):
+    return T.append(K.kv(spark, d), "!")
+
+
+@query("SELECT key, left(value, 2) || 'XYZ' || substr(value, 6) AS value FROM kv", "kv")
+def str_setrange(spark, d):
+    return T.setrange(K.kv(spark, d), 2, "XYZ").select("key", F.decode("value", "UTF-8").alias("value"))
+
+
+@query("SELECT key, value FROM kv UNION ALL SELECT key, 'new' FROM (SELECT 'cust:' || range AS key FROM range(100000, 100020) UNION ALL SELECT 'cust:' || range FROM range(5)) n WHERE key NOT IN (SELECT key FROM kv)", "kv")
+def str_setnx(spark, d):
+    new = spark.range(100_000, 100_020).unionAll(spark.range(5)).select(F.concat(F.lit("cust:"), F.col("id").cast("string")).alias("key"), F.lit("new").alias("value"))
+    return T.setnx(K.kv(spark, d), new)
+
+
+@query("SELECT 'cust:' || o_custkey AS key, CAST(c_nationkey AS BIGINT) + count(*) AS value FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY o_custkey, c_nationkey")
+def str_incrby(spark, d):
+    c = K.read(spark, d, "customer").select(F.concat(F.lit("cust:"), F.col("c_custkey").cast("string")).alias("key"), F.col("c_nationkey").cast("string").alias("value"))
+    by = K.read(spark, d, "orders").select(F.concat(F.lit("cust:"), F.col("o_custkey").cast("string")).alias("key"), F.lit(1).cast("long").alias("n"))
+    return T.incrby(c, by)
+
+
+@query("SELECT key FROM kv WHERE regexp_full_match(key, 'cust:1[0-4].*') AND key > 'cust:10' ORDER BY key LIMIT 25", "kv")
+def key_scan_glob(spark, d):
+    return T.scan(K.kv(spark, d), "cust:1[0-4]*", "cust:10", 25)
+
+
+@query("SELECT 'string' AS type, count(DISTINCT key) AS keys FROM kv UNION ALL SELECT 'hash', count(DISTINCT key) FROM hf UNION ALL SELECT 'list', count(DISTINCT key) FROM le UNION ALL SELECT 'set', count(DISTINCT key) FROM sm UNION ALL SELECT 'zset', count(DISTINCT key) FROM zm UNION ALL SELECT 'stream', count(DISTINCT key) FROM xs", "kv hf le sm zm xs")
+def key_type_counts(spark, d):
+    return O.key_types(string=K.kv(spark, d), hash=K.hf(spark, d), list=K.le(spark, d), set=K.sm(spark, d), zset=K.zm(spark, d), stream=K.xs(spark, d))
+
+
+# time to live
+
+
+@query(f"SELECT key, CASE WHEN expire_at_ms = 0 THEN -1 WHEN expire_at_ms <= {_NOW} THEN -2 ELSE expire_at_ms - {_NOW} END AS ttl_ms FROM ex", "ex")
+def key_ttl(spark, d):
+    return O.ttl(K.expiring(spark, d), _NOW)
+
+
+@query(f"SELECT key, value, expire_at_ms FROM ex WHERE expire_at_ms = 0 OR expire_at_ms > {_NOW}", "ex")
+def expire_live_filter(spark, d):
+    return O.alive(K.expiring(spark, d), _NOW)
+
+
+@query("SELECT key, value, 0 AS expire_at_ms FROM ex", "ex")
+def expire_persist(spark, d):
+    return O.persist(K.expiring(spark, d))
+
+
+# hashes
+
+
+@query("SELECT key, value FROM hf WHERE field = 'segment'", "hf")
+def hash_hget(spark, d):
+    return H.hget(K.hf(spark, d), "segment")
+
+
+@query("SELECT key, max(value) FILTER (field = 'name') AS name, max(value) FILTER (field = 'none') AS none FROM hf GROUP BY key", "hf")
+def hash_hmget(spark, d):
+    return H.hmget(K.hf(spark, d), ["name", "none"])
+
+
+@query("SELECT key, string_agg(field || '=' || value, ';' ORDER BY field) AS fields FROM hf GROUP BY key", "hf")
+def hash_hgetall(spark, d):
+    pairs = F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return H.hgetall(K.hf(spark, d)).select("key", F.array_join(pairs, ";").alias("fields"))
+
+
+@query("SELECT key, count(*) AS n FROM hf GROUP BY key", "hf")
+def hash_hlen(spark, d):
+    return H.hlen(K.hf(spark, d))
+
+
+@query("SELECT key, field, value FROM hf WHERE field <> 'name'", "hf")
+def hash_hdel(spark, d):
+    return H.hdel(K.hf(spark, d), ["name"])
+
+
+@query("SELECT key, octet_length(encode(value)) AS len FROM hf WHERE field = 'segment'", "hf")
+def hash_hstrlen(spark, d):
+    return H.hstrlen(K.hf(spark, d), "segment")
+
+
+@query("SELECT key, CAST(max(value) FILTER (field = 'nation') AS BIGINT) + 5 AS value FROM hf GROUP BY key", "hf")
+def hash_hincrby(spark, d):
+    return H.hincrby(K.hf(spark, d), "nation", 5)
+
+
+# lists
+
+
+@query("SELECT key, count(*) AS n FROM le GROUP BY key", "le")
+def list_llen(spark, d):
+    return L.llen(K.le(spark, d))
+
+
+@query("SELECT key, pos, value FROM ln WHERE pos BETWEEN greatest(n - 3, 0) AND n - 2", "ln")
+def list_lrange(spark, d):
+    return L.lrange(K.le(spark, d), -3, -2)
+
+
+@query("SELECT key, value FROM ln WHERE pos = n - 1", "ln")
+def list_lindex_neg(spark, d):
+    return L.lindex(K.le(spark, d), -1)
+
+
+@query("SELECT key, min(pos) AS pos FROM le WHERE value = '7' GROUP BY key", "le")
+def list_lpos(spark, d):
+    return L.lpos(K.le(spark, d), "7")
+
+
+@query("SELECT key, row_number() OVER (PARTITION BY key ORDER BY pos) - 1 AS pos, value FROM (SELECT *, row_number() OVER (PARTITION BY key, value = '7' ORDER BY pos) AS k FROM le) WHERE value <> '7' OR k > 1", "le")
+def list_lrem(spark, d):
+    return L.lrem(K.le(spark, d), 1, "7")
+
+
+@query("SELECT key, row_number() OVER (PARTITION BY key ORDER BY pos) - 1 AS pos, value FROM ln WHERE pos BETWEEN 1 AND n - 2", "ln")
+def list_ltrim(spark, d):
+    return L.ltrim(K.le(spark, d), 1, -2)
+
+
+@query("SELECT key, pos, value FROM le WHERE pos < 2", "le")
+def list_lpop(spark, d):
+    return L.lpop(K.le(spark, d), 2)
+
+
+@query("SELECT key, pos, value FROM ln WHERE pos >= n - 2", "ln")
+def list_rpop(spark, d):
+    return L.rpop(K.le(spark, d), 2)
+
+
+@query("SELECT key, pos, CASE WHEN pos = n - 1 THEN 'last' ELSE value END AS value FROM ln", "ln")
+def list_lset(spark, d):
+    return L.lset(K.le(spark, d), -1, "last")
+
+
+# sets
+
+_TWO = ["supp:1", "supp:2"]
+
+
+@query("SELECT member FROM sm WHERE key = 'supp:1' INTERSECT SELECT member FROM sm WHERE key = 'supp:2'", "sm")
+def set_sinter(spark, d):
+    return S.sinter(K.sm(spark, d), _TWO)
+
+
+@query("SELECT member FROM sm WHERE key = 'supp:1' UNION SELECT member FROM sm WHERE key = 'supp:2'", "sm")
+def set_sunion(spark, d):
+    return S.sunion(K.sm(spark, d), _TWO)
+
+
+@query("SELECT member FROM sm WHERE key = 'supp:1' EXCEPT SELECT member FROM sm WHERE key = 'supp:2'", "sm")
+def set_sdiff(spark, d):
+    return S.sdiff(K.sm(spark, d), _TWO)
+
+
+@query("SELECT least(count(*), 5) AS n FROM (SELECT member FROM sm WHERE key = 'supp:1' INTERSECT SELECT member FROM sm WHERE key = 'supp:2')", "sm")
+def set_sintercard(spark, d):
+    return S.sintercard(K.sm(spark, d), _TWO, 5)
+
+
+@query("SELECT key, count(*) AS n FROM sm GROUP BY key", "sm")
+def set_scard(spark, d):
+    return S.scard(K.sm(spark, d))
+
+
+@query("SELECT p.key, p.member, CASE WHEN sm.member IS NULL THEN 0 ELSE 1 END AS is_member FROM (SELECT 'supp:' || (range % 10) AS key, CAST(range AS VARCHAR) AS member FROM range(300)) p LEFT JOIN sm ON p.key = sm.key AND p.member = sm.member", "sm")
+def set_smismember(spark, d):
+    probes = spark.range(300).select(F.concat(F.lit("supp:"), (F.col("id") % 10).cast("string")).alias("key"), F.col("id").cast("string").alias("member"))
+    return S.smismember(K.sm(spark, d), probes)
+
+
+@query()
+def set_srandmember(spark, d):
+    return S.srandmember(K.sm(spark, d), 3, seed=1)
+
+
+# sorted sets
+
+
+@query("SELECT key, member, score, rank FROM zr", "zr")
+def zset_zrank(spark, d):
+    return Z.zrank(K.zm(spark, d))
+
+
+@query("SELECT key, member, score, rank FROM zr WHERE rev < 2", "zr")
+def zset_zrange_neg(spark, d):
+    return Z.zrange(K.zm(spark, d), -2, -1)
+
+
+@query("SELECT key, member, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, member) AS k FROM zm WHERE score BETWEEN 50000 AND 150000) WHERE k BETWEEN 2 AND 4", "zm")
+def zset_zrangebyscore_limit(spark, d):
+    return Z.zrangebyscore(K.zm(spark, d), 50_000, 150_000, 1, 3)
+
+
+@query("SELECT key, count(*) FILTER (score BETWEEN 50000 AND 150000) AS n FROM zm GROUP BY key", "zm")
+def zset_zcount(spark, d):
+    return Z.zcount(K.zm(spark, d), 50_000, 150_000)
+
+
+@query("SELECT key, count(*) AS n FROM zm GROUP BY key", "zm")
+def zset_zcard(spark, d):
+    return Z.zcard(K.zm(spark, d))
+
+
+@query("SELECT p.key, p.member, zm.score FROM (SELECT 'user:' || (range % 50) AS key, CAST(range AS VARCHAR) AS member FROM range(1000)) p LEFT JOIN zm ON p.key = zm.key AND p.member = zm.member", "zm")
+def zset_zmscore(spark, d):
+    probes = spark.range(1000).select(F.concat(F.lit("user:"), (F.col("id") % 50).cast("string")).alias("key"), F.col("id").cast("string").alias("member"))
+    return Z.zscore(K.zm(spark, d), probes)
+
+
+@query("SELECT key, member, score + 1.5 AS score FROM zm", "zm")
+def zset_zincrby(spark, d):
+    z = K.zm(spark, d)
+    return Z.zincrby(z, z.select("key", "member", F.lit(1.5).alias("n")))
+
+
+@query("SELECT key, member, greatest(score, 100000.0) AS score FROM zm", "zm")
+def zset_zadd_gt(spark, d):
+    z = K.zm(spark, d)
+    return Z.zadd(z, z.select("key", "member", F.lit(100_000.0).alias("score")), "GT")
+
+
+@query("SELECT key, member, score, rank FROM zr WHERE rank = 0", "zr")
+def zset_zpopmin(spark, d):
+    return Z.zpopmin(K.zm(spark, d))
+
+
+@query("SELECT key, member, score FROM zr WHERE rank > 0", "zr")
+def zset_zpopmin_remaining(spark, d):
+    return Z.zpopmin_rest(K.zm(spark, d))
+
+
+# streams
+
+_FROM, _TO = 1_704_067_200_000, 1_704_110_400_000
+
+
+@query(f"SELECT key, ms, seq, event_id, value FROM xs WHERE ms BETWEEN {_FROM} AND {_TO}", "xs")
+def stream_xrange(spark, d):
+    return X.xrange(K.xs(spark, d), _FROM, _TO)
+
+
+@query("SELECT key, ms, seq, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms DESC, seq DESC) AS r FROM xs) WHERE r <= 5", "xs")
+def stream_xrevrange(spark, d):
+    return X.xrange(K.xs(spark, d), 0, 1 << 60, count=5, reverse=True)
+
+
+@query("SELECT key, count(*) AS n FROM xs GROUP BY key", "xs")
+def stream_xlen(spark, d):
+    return X.xlen(K.xs(spark, d))
+
+
+@query(f"SELECT key, ms, seq, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms, seq) AS r FROM xs WHERE ms > {_TO} OR (ms = {_TO} AND seq > 0)) WHERE r <= 4", "xs")
+def stream_xread_cursor(spark, d):
+    return X.xread(K.xs(spark, d), _TO, 0, 4)
+
+
+@query("SELECT key, ms, seq, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ms DESC, seq DESC) AS r FROM xs) WHERE r <= 10", "xs")
+def stream_xtrim_maxlen(spark, d):
+    return X.xtrim(K.xs(spark, d), 10)
+
+
+@query("SELECT key, count(*) AS n, min(ms) AS first_ms, arg_min(seq, ms * 1000 + seq) AS first_seq, max(ms) AS last_ms, arg_max(seq, ms * 1000 + seq) AS last_seq FROM xs GROUP BY key", "xs")
+def stream_xinfo(spark, d):
+    return X.xinfo(K.xs(spark, d))
+
+
+@query("SELECT key, ms, seq, event_id, value FROM xs WHERE event_id % 3 <> 0", "xs")
+def stream_pending_after_ack(spark, d):
+    x = K.xs(spark, d)
+    return X.pending(x, x.where("event_id % 3 = 0").select("key", "ms", "seq"), ["key", "ms", "seq"])
+
+
+# JSON, geo, bitmaps
+
+
+@query("SELECT key, json_extract_string(doc, '$.k') AS value FROM jd", "jd")
+def json_get(spark, d):
+    return O.json_get(K.jd(spark, d), "$.k")
+
+
+@query("SELECT key, CASE json_type(doc, '$.k') WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' END AS type FROM jd", "jd")
+def json_type(spark, d):
+    return O.json_type(K.jd(spark, d), "$.k")
+
+
+@query("SELECT key, CAST(json_extract_string(doc, '$.k') AS BIGINT) + 3 AS value FROM jd", "jd")
+def json_numincrby(spark, d):
+    return O.json_numincrby(K.jd(spark, d), "k", 3)
+
+
+@query("SELECT key, len(json_keys(doc)) AS n FROM jd", "jd")
+def json_objlen(spark, d):
+    return O.json_objlen(K.jd(spark, d))
+
+
+@query()
+def geo_encode(spark, d):
+    return O.geoadd(K.geo(spark, d))
+
+
+_HAV = "2 * 6372797.560856 * asin(sqrt(pow(sin((radians(20.0) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(20.0)) * pow(sin((radians(10.0) - radians(lng)) / 2), 2)))"
+
+
+@query(f"SELECT key, member, round({_HAV}, 3) AS metres FROM geo", "geo")
+def geo_geodist(spark, d):
+    return O.geodist(K.geo(spark, d), 10.0, 20.0).select("key", "member", F.round("metres", 3).alias("metres"))
+
+
+@query(f"SELECT key, member, round({_HAV}, 3) AS metres FROM geo WHERE {_HAV} <= 2000000", "geo")
+def geo_search_radius(spark, d):
+    return O.geosearch(K.geo(spark, d), 10.0, 20.0, 2_000_000).select("key", "member", F.round("metres", 3).alias("metres"))
+
+
+@query("SELECT key, count(*) AS n FROM bits GROUP BY key", "bits")
+def bit_bitcount(spark, d):
+    return O.bitcount(K.bits(spark, d))
+
+
+@query('SELECT key, min(off) AS "offset" FROM bits GROUP BY key', "bits")
+def bit_bitpos(spark, d):
+    return O.bitpos(K.bits(spark, d))
+
+
+@query("SELECT off AS \"offset\" FROM bits WHERE key = '2024-01-01' INTERSECT SELECT off FROM bits WHERE key = '2024-01-02'", "bits")
+def bit_bitop_and(spark, d):
+    return O.bitop(K.bits(spark, d), "AND", ["2024-01-01", "2024-01-02"])
+
+
+# sketches
+
+_HLL = """, m AS (SELECT event_type, md5(CAST(user_id AS VARCHAR)) AS m FROM events),
+p AS (SELECT event_type, CAST('0x' || substr(m, 13, 4) AS BIGINT) AS lo, CAST('0x' || substr(m, 1, 12) AS BIGINT) AS hi FROM m),
+r AS (SELECT event_type, lo & 16383 AS idx, max(CASE WHEN ((hi << 2) | (lo >> 14)) = 0 THEN 51 ELSE 51 - length(bin((hi << 2) | (lo >> 14))) END) AS rank FROM p GROUP BY ALL),
+z AS (SELECT event_type, sum(pow(2.0, -rank)) + (16384 - count(*)) AS z, 16384 - count(*) AS v FROM r GROUP BY event_type)
+SELECT event_type, CAST(round(CASE WHEN 0.7213 / (1 + 1.079 / 16384.0) * 16384.0 * 16384.0 / z <= 2.5 * 16384 AND v > 0 THEN 16384.0 * ln(16384.0 / v) ELSE 0.7213 / (1 + 1.079 / 16384.0) * 16384.0 * 16384.0 / z END) AS BIGINT) AS n FROM z"""
+
+
+@query(_HLL, "log")
+def hll_pfcount_exact(spark, d):
+    return O.pfcount(O.hll_registers(K.read(spark, d, "events"), "event_type", F.col("user_id")), "event_type")
+
+
+_CMS = """, cells AS (SELECT row, CAST('0x' || substr(md5(row || ':' || l_partkey), 1, 12) AS BIGINT) % 512 AS col, count(*) AS n FROM lineitem, range(4) t(row) GROUP BY ALL)
+SELECT e, min(coalesce(n, 0)) AS n FROM (SELECT CAST(p AS VARCHAR) AS e, row, CAST('0x' || substr(md5(row || ':' || p), 1, 12) AS BIGINT) % 512 AS col FROM range(200) a(p), range(4) t(row)) q
+LEFT JOIN cells USING (row, col) GROUP BY e"""
+
+
+@query(_CMS, "log")
+def cms_query(spark, d):
+    cells = O.cms_cells(K.read(spark, d, "lineitem"), F.col("l_partkey"), 512, 4)
+    return O.cms_query(cells, spark.range(200).select(F.col("id").cast("string").alias("e")), 512, 4)
+
+
+@query("SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey ORDER BY n DESC, l_partkey LIMIT 10")
+def topk_exact(spark, d):
+    return O.topk(K.read(spark, d, "lineitem"), "l_partkey", 10)
+
+
+@query("SELECT range AS c_custkey, CASE WHEN range IN (SELECT c_custkey FROM customer) THEN 1 ELSE 0 END AS maybe FROM range(100)")
+def bloom_membership(spark, d):
+    return O.bloom_maybe(K.read(spark, d, "customer"), "c_custkey", spark.range(100).withColumnRenamed("id", "c_custkey"))
+
+
+@query("SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50, round(quantile_cont(l_extendedprice, 0.99), 4) AS q99 FROM lineitem GROUP BY l_returnflag")
+def quantile_exact(spark, d):
+    q = O.quantiles(K.read(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", [0.5, 0.99])
+    return q.select("l_returnflag", F.round("q50", 4).alias("q50"), F.round("q99", 4).alias("q99"))
+
+
+@query("SELECT l_returnflag, round(count(*) FILTER (l_extendedprice <= 30000) / count(*), 9) AS share FROM lineitem GROUP BY l_returnflag")
+def cdf_exact(spark, d):
+    return O.cdf(K.read(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", 30_000).select("l_returnflag", F.round("share", 9).alias("share"))
+
+
+# the log
+
+
+@query("SELECT key, cmd, count(*) AS n FROM log GROUP BY key, cmd", "log")
+def fold_counters(spark, d):
+    return fold.counters(K.cmdlog(spark, d))
+
+
+@query("SELECT key, arg_max(arg, seq) AS value, max(seq) AS seq FROM log GROUP BY key", "log")
+def fold_last_write(spark, d):
+    return fold.last_write(K.cmdlog(spark, d))
+
+
+@query("SELECT key, arg_min(arg, seq) AS value FROM log GROUP BY key", "log")
+def fold_first_write(spark, d):
+    return fold.first_write(K.cmdlog(spark, d))
+
+
+@query("SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY key, cmd ORDER BY seq DESC) = 1", "log")
+def fold_compact(spark, d):
+    return fold.compact(K.cmdlog(spark, d), ["key", "cmd"])
+
+
+_RATE = """, b AS (SELECT key, ts_ms // 3600000 AS bucket, count(*) AS n FROM log GROUP BY ALL),
+p AS (SELECT *, lag(bucket) OVER w AS pb, lag(n) OVER w AS pn FROM b WINDOW w AS (PARTITION BY key ORDER BY bucket)),
+e AS (SELECT key, bucket, n, CAST(n + CASE WHEN pb = bucket - 1 THEN pn ELSE 0 END * 0.5 AS DOUBLE) AS estimate FROM p)
+SELECT *, CAST(estimate <= 2 AS BIGINT) AS allowed FROM e"""
+
+
+@query(_RATE, "log")
+def ratelimit_buckets(spark, d):
+    return O.ratelimit_windows(K.cmdlog(spark, d), 3_600_000, 2)
+
+
+@query("SELECT key, seq, coalesce(lead(ts_ms) OVER (PARTITION BY key ORDER BY ts_ms, seq) - ts_ms, -1) AS held_ms FROM log", "log")
+def lock_intervals(spark, d):
+    return O.lock_spans(K.cmdlog(spark, d))
