@@ -55,8 +55,8 @@ def index_range(n: Column, start: int, stop: int) -> tuple[Column, Column]:
     return lo, F.least(F.lit(stop) + (n if stop < 0 else F.lit(0)), n - 1)
 
 
-#: Limits of the coordinates that a 52-bit geohash covers, and the radius of the sphere in metres.
-GEO_LNG, GEO_LAT, EARTH = (-180.0, 180.0), (-85.05112878, 85.05112878), 6372797.560856
+#: Limits of the grid that a 52-bit geohash covers, and the radius of the sphere in metres.
+GEO_LNG, GEO_LAT, EARTH = (-180.0, 180.0), (-90.0, 90.0), 6372797.560856
 
 
 def _spread(x: Column) -> Column:
@@ -65,7 +65,7 @@ def _spread(x: Column) -> Column:
 
 def geo_score(lng: Column, lat: Column) -> Column:
     """Interleaved 26-bit cells of longitude (odd bits) and latitude (even bits)."""
-    cell = lambda v, lim: F.floor((v - lim[0]) / (lim[1] - lim[0]) * (1 << 26)).cast("long")
+    cell = lambda v, lim: F.round((v - lim[0]) / (lim[1] - lim[0]) * ((1 << 26) - 1)).cast("long")
     return _spread(cell(lat, GEO_LAT)) + _spread(cell(lng, GEO_LNG)) * 2
 
 
