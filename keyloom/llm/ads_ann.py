@@ -7,7 +7,8 @@ below the query's current tenth, at a confidence that grows with the columns see
 original vectors in double precision.
 
 Equal vectors are one point with its smallest ids (as many as an answer can show); equal queries are searched once. Long
-lists are dealt into parts, each of which gets the list's queries. The rotation and the centroids are bounded; centroids
+lists are dealt into parts, each of which gets the list's queries. How many lists a query probes is fitted on the sample:
+few where vectors lie in clusters, most of them where they lie evenly. The rotation and the centroids are bounded; centroids
 come from a bounded sample, the index takes every vector.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; nor do those whose
@@ -27,8 +28,8 @@ from .common import cut_lineage
 
 #: Vectors from which centroids are fitted, lists at most, points of a list in one part.
 SAMPLE, LISTS, PART = 16_384, 4_096, 4_096
-#: Share of the lists that a query probes, and at least so many; points that they must hold at least.
-PROBES, LEAST_PROBES, LEAST_POINTS = 0.15, 12, 64
+#: Share of the sample's own neighbours that the lists probed must hold, lists probed at least, and the points in them.
+HELD, LEAST_PROBES, LEAST_POINTS = 0.97, 12, 64
 #: Columns to a block, and how many standard errors a candidate may be over the bound before it is abandoned.
 COLUMNS, ERRORS = 16, 2.1
 
@@ -58,6 +59,21 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x * x).sum(axis=1)[:, None] - 2 * x @ c.T + (c * c).sum(axis=1)[None, :])
 
 
+def fit_probes(sample: np.ndarray, centre: np.ndarray, k: int, queries: int = 256) -> int:
+    """How many lists hold the share HELD of the neighbours that some of the sample have within it. Neighbours among all
+    vectors are nearer than those within a sample, so this errs on the side of more lists."""
+    asked = sample[:queries].astype(np.float64)
+    d = squared(asked, sample.astype(np.float64))
+    d[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+    near = np.argsort(d, axis=1)[:, : min(k, len(sample) - 1)]
+    if not near.size:
+        return len(centre)
+    order = np.argsort(squared(asked, centre.astype(np.float64)), axis=1)
+    rank = np.argsort(order, axis=1)
+    own = squared(sample, centre).argmin(axis=1)
+    return int(np.quantile(np.take_along_axis(rank, own[near], axis=1), HELD, method="higher")) + 1
+
+
 def adaptive_scan(query: np.ndarray, rotated: np.ndarray, blocks: list[np.ndarray], bound: float) -> np.ndarray:
     """Candidates that may be nearer than the bound (a squared distance): blocks hold the rotated columns of all."""
     dim, seen, alive = len(rotated), 0, np.arange(len(blocks[0]))
@@ -118,9 +134,10 @@ def nearest_neighbours(vectors: DataFrame, queries_where: str, k: int = 10, id_c
     heads = cut_lineage(classes(asked, 1).select(F.col("ids")[0].alias("head"), "v"))
     n = points.count()
     lists = int(min(LISTS, max(1, n**0.5 / 2)))
-    sample = points.orderBy(F.xxhash64(F.col("ids")[0])).limit(SAMPLE).select("v").toPandas()["v"]
-    centre, turn = centroids(np.array(sample.tolist(), np.float32), lists), rotation(dim)
-    lists = len(centre)
+    rows = points.orderBy(F.xxhash64(F.col("ids")[0])).limit(SAMPLE).select("v").toPandas()["v"]
+    sample = np.array(rows.tolist(), np.float32)
+    centre, turn = centroids(sample, lists), rotation(dim)
+    lists, probes_each = len(centre), fit_probes(sample, centre, k)
 
     def assign(batches):
         for b in batches:
@@ -138,7 +155,7 @@ def nearest_neighbours(vectors: DataFrame, queries_where: str, k: int = 10, id_c
             x = _matrix(pa.chunked_array([b.column("v")], pa.list_(pa.float32())), dim)
             order = np.argsort(squared(x, centre), axis=1)
             enough = np.argmax(np.cumsum(held[order], axis=1) >= min(LEAST_POINTS, held.sum()), axis=1) + 1
-            count = np.minimum(lists, np.maximum(enough, max(LEAST_PROBES, round(PROBES * lists))))
+            count = np.minimum(lists, np.maximum(enough, max(LEAST_PROBES, probes_each)))
             row, to, part = [], [], []
             for i, c in enumerate(count):
                 for t in order[i, :c].tolist():

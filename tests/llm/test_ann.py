@@ -53,6 +53,12 @@ def test_odd_vectors_and_hot_ones(spark):
     assert recall(spark, rows) >= 0.9
 
 
+def test_recall_without_clusters(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, f32(x / np.linalg.norm(x))) for i, x in enumerate(r.standard_normal((4000, 24)))]
+    assert recall(spark, rows) >= 0.93
+
+
 def test_few(spark):
     assert recall(spark, [(0, [1.0] * 24)]) == 0
     assert recall(spark, [(0, [1.0] * 24), (100, [2.0] * 24), (5, [2.0] * 24)]) == 1
