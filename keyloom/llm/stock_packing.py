@@ -32,6 +32,8 @@ from .tokens import encode, vocabulary
 SHARE = 50_000
 #: Bound on the columns generated; the plan is feasible whenever it stops.
 COLUMNS = 3000
+#: Steps without a lower cost (few pieces, degenerate bases) after which the search ends.
+STALL = 60
 #: What a sequence costs beside its padded length, and the relative gap to the dual bound at which the search ends.
 SEQUENCE, GAP = 16, 0.002
 
@@ -96,6 +98,20 @@ def greedy_columns(sizes: np.ndarray, demand: np.ndarray, length: int) -> list[n
     return columns
 
 
+def invert(columns: list[np.ndarray]) -> np.ndarray:
+    """Inverse of the basis, by Gauss-Jordan steps with row exchange."""
+    m = len(columns)
+    a = np.hstack([np.array(columns, float).T, np.eye(m)])
+    for k in range(m):
+        p = k + int(np.argmax(np.abs(a[k:, k])))
+        a[[k, p]] = a[[p, k]]
+        a[k] /= a[k, k]
+        rows = np.flatnonzero(a[:, k])
+        rows = rows[rows != k]
+        a[rows] -= np.outer(a[rows, k], a[k])
+    return a[:, m:]
+
+
 def generate_columns(sizes: np.ndarray, demand: np.ndarray, length: int) -> list[tuple[np.ndarray, int, float]]:
     """(items of each size, total, times used) of the linear program's last basis.
 
@@ -106,7 +122,7 @@ def generate_columns(sizes: np.ndarray, demand: np.ndarray, length: int) -> list
     worth = np.array([padded(c, length) + SEQUENCE for c in range(length + 1)], float)
     columns = greedy_columns(sizes, demand, length)
     cost = np.array([worth[int(c @ sizes)] for c in columns])
-    inverse = np.linalg.inv(np.array(columns, float).T)
+    inverse = invert(columns)
     amount = inverse @ demand
     if amount.min() < -1e-6:  # sizes of which a few are left over tip the balance: begin with a size to a column
         columns = [np.eye(1, m, i, dtype=np.int64)[0] * max(1, length // sizes[i]) for i in range(m)]
@@ -114,14 +130,23 @@ def generate_columns(sizes: np.ndarray, demand: np.ndarray, length: int) -> list
         inverse = np.diag([1.0 / c[i] for i, c in enumerate(columns)])
         amount = inverse @ demand
     amount = np.maximum(amount, 0.0)
+    total, since = np.inf, 0
     for step in range(COLUMNS):
+        if cost @ amount < total * (1 - 1e-6):
+            total, since = cost @ amount, step
+        if step - since >= STALL:
+            break
         duals = cost @ inverse
+        if not np.isfinite(duals).all():  # the basis has come too near to a singular one; amounts so far still hold
+            break
         best, last = knapsack(duals, sizes, length)
         reach = best[1:] / worth[1:]  # the duals over the largest reach are feasible: a bound on any plan's cost
         if reach.max() <= 1 + GAP:
             break
         c = int(np.argmax(best[1:] - worth[1:])) + 1
         column, t = np.zeros(m, np.int64), c
+        if last[c] < 0:
+            break
         while t:
             column[last[t]] += 1
             t -= sizes[last[t]]
@@ -139,7 +164,7 @@ def generate_columns(sizes: np.ndarray, demand: np.ndarray, length: int) -> list
         amount[out] = ratio[out]
         amount = np.maximum(amount, 0.0)
         if step % 200 == 199:  # rounding errors don't add up
-            inverse = np.linalg.inv(np.array(columns, float).T)
+            inverse = invert(columns)
             amount = np.maximum(inverse @ demand, 0.0)
     return [(c, int(c @ sizes), float(x)) for c, x in zip(columns, amount, strict=True)]
 
