@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.columns import glob
 
 
 def hget(hf: DataFrame, field: str) -> DataFrame:
@@ -39,3 +42,36 @@ def hdel(hf: DataFrame, fields: list[str]) -> DataFrame:
 def hincrby(hf: DataFrame, field: str, n: int) -> DataFrame:
     """Every key's field plus n; a missing field begins at 0."""
     return hf.groupBy("key").agg(F.expr(f"try_add(coalesce(max(if(field = '{field}', try_cast(value AS BIGINT), NULL)), 0L), {n}L)").alias("value"))
+
+
+def hset(hf: DataFrame, new: DataFrame, only_new: bool = False) -> DataFrame:
+    """new: key, field, value. Sets fields; with only_new those that don't exist."""
+    by = ["key", "field"]
+    return hf.unionByName(new.join(hf, by, "left_anti")) if only_new else hf.join(new, by, "left_anti").unionByName(new)
+
+
+def hexists(hf: DataFrame, field: str) -> DataFrame:
+    return hf.groupBy("key").agg(F.max((F.col("field") == field).cast("long")).alias("found"))
+
+
+def hvals(hf: DataFrame) -> DataFrame:
+    return hf.select("key", "value")
+
+
+def hincrbyfloat(hf: DataFrame, field: str, n: float) -> DataFrame:
+    """Every key's field plus n; a missing field begins at 0, one that isn't a number gives null."""
+    held = F.max(F.when(F.col("field") == field, F.col("value")))
+    return hf.groupBy("key").agg(held.alias("v")).select("key", F.when(F.col("v").isNull(), n).otherwise(F.expr("try_cast(v AS DOUBLE)") + n).alias("value"))
+
+
+def hscan(hf: DataFrame, cursor: int = 0, count: int = 10, match: str = "*") -> DataFrame:
+    """So many fields of each key from a place on, in field order."""
+    w = Window.partitionBy("key").orderBy("field")
+    found = hf.where(glob(F.col("field"), match)).withColumn("r", F.row_number().over(w))
+    return found.where((F.col("r") > cursor) & (F.col("r") <= cursor + count)).select("key", "field", "value")
+
+
+def hrandfield(hf: DataFrame, count: int, seed: int) -> DataFrame:
+    """So many fields of each key, by a seeded hash."""
+    w = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "field"), "field")
+    return hf.withColumn("r", F.row_number().over(w)).where(F.col("r") <= count).select("key", "field", "value")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import geo_score, haversine, live
+from ..functions.columns import geo_hash, geo_place, geo_score, glob, haversine, live
 
 
 def json_get(jd: DataFrame, path: str) -> DataFrame:
@@ -153,3 +156,172 @@ def lock_spans(log: DataFrame) -> DataFrame:
     """key, seq, until: how long each holder has a lock, until the next command on the key."""
     w = Window.partitionBy("key").orderBy("ts_ms", "seq")
     return log.select("key", "seq", F.coalesce(F.lead("ts_ms").over(w) - F.col("ts_ms"), F.lit(-1)).alias("held_ms"))
+
+
+def geopos(scores: DataFrame) -> DataFrame:
+    """scores: key, member, score. Places as their cells have them."""
+    lng, lat = geo_place(F.col("score"))
+    return scores.select("key", "member", lng.alias("lng"), lat.alias("lat"))
+
+
+def geohash(scores: DataFrame) -> DataFrame:
+    return scores.select("key", "member", geo_hash(F.col("score")).alias("geohash"))
+
+
+def geodist_members(geo: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs: key, a, b. Metres between two members of a key, null if it lacks one."""
+    at = lambda n: geo.select("key", F.col("member").alias(n), F.col("lng").alias(f"{n}_lng"), F.col("lat").alias(f"{n}_lat"))
+    both = pairs.join(at("a"), ["key", "a"], "left").join(at("b"), ["key", "b"], "left")
+    return both.select("key", "a", "b", haversine(F.col("a_lng"), F.col("a_lat"), F.col("b_lng"), F.col("b_lat")).alias("metres"))
+
+
+#: Fixed value: metres to a degree of latitude.
+DEGREE = 111_320.0
+
+
+def geosearch_box(geo: DataFrame, lng: float, lat: float, width: float, height: float) -> DataFrame:
+    """Within a box of degrees around a place, sides in metres at its latitude; the box doesn't wrap at 180 degrees."""
+    cos = math.cos(math.radians(lat))
+    half_lat, half_lng = height / 2 / DEGREE, width / 2 / (DEGREE * cos) if cos > 0 else 180.0
+    return geo.where((F.abs(F.col("lat") - lat) <= half_lat) & (F.abs(F.col("lng") - lng) <= half_lng))
+
+
+def geosearch_member(geo: DataFrame, member: str, metres: float, count: int) -> DataFrame:
+    """The nearest members of each key to one of its own, itself included, within a radius."""
+    centre = geo.where(F.col("member") == member).select("key", F.col("lng").alias("lng0"), F.col("lat").alias("lat0"))
+    near = geo.join(centre, "key").select("key", "member", haversine(F.col("lng"), F.col("lat"), F.col("lng0"), F.col("lat0")).alias("metres")).where(F.col("metres") <= metres)
+    w = Window.partitionBy("key").orderBy("metres", "member")
+    return near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= count).drop("r")
+
+
+def setbit(bits: DataFrame, offset: int, on: bool) -> DataFrame:
+    """Every bitmap with one bit set or cleared."""
+    others = bits.where(F.col("offset") != offset)
+    if not on:
+        return others
+    return others.unionByName(bits.select("key").distinct().withColumn("offset", F.lit(offset).cast("long")))
+
+
+def getbit(bits: DataFrame, offset: int) -> DataFrame:
+    return bits.groupBy("key").agg(F.max((F.col("offset") == offset).cast("long")).alias("bit"))
+
+
+def bitcount_range(bits: DataFrame, start: int, stop: int) -> DataFrame:
+    """Set bits of bytes start to stop, both included; negative bytes count from the end, the byte of the last set bit."""
+    size = bits.groupBy("key").agg((F.floor(F.max("offset") / 8) + 1).alias("n"))
+    at = lambda i: F.greatest(F.col("n") + i, F.lit(0)) if i < 0 else F.lit(i)
+    byte = F.floor(F.col("offset") / 8)
+    return bits.join(size, "key").groupBy("key").agg(F.count_if(byte.between(at(start), at(stop))).alias("n"))
+
+
+def bitnot(bits: DataFrame) -> DataFrame:
+    """The offsets not set, up to the end of the byte of the last one set."""
+    size = bits.groupBy("key").agg(F.max("offset").alias("last"))
+    every = size.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / 8) * 8 + 7)).alias("offset"))
+    return every.join(bits, ["key", "offset"], "left_anti")
+
+
+def pfmerge(registers: DataFrame, by: str) -> DataFrame:
+    """Registers of the union of all that have the same value of by."""
+    return registers.groupBy(by, "idx").agg(F.max("rank").alias("rank"))
+
+
+def cms_merge(sketches: list[tuple[DataFrame, int]]) -> DataFrame:
+    """Cells of sketches (cells, weight) of one size, added up and held to 0 at least."""
+    every = reduce(DataFrame.unionByName, (c.select("row", "col", (F.col("n") * w).alias("n")) for c, w in sketches))
+    return every.groupBy("row", "col").agg(F.greatest(F.sum("n"), F.lit(0)).alias("n"))
+
+
+def topk_by(elements: DataFrame, by: str, element: str, k: int) -> DataFrame:
+    """The most frequent elements of each key, ties to the smaller element."""
+    w = Window.partitionBy(by).orderBy(F.desc("n"), element)
+    return elements.groupBy(by, element).agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+
+
+def cuckoo_cells(elements: DataFrame, element: Column, buckets: int) -> DataFrame:
+    """mark, low, high, n: marks of the elements and their two buckets. buckets: a power of two, so either bucket gives the
+    other. A table of marks has no kicks and doesn't fill up."""
+    mark, low, high = _cuckoo_place(element.cast("string"), buckets)
+    return elements.groupBy(mark.alias("mark"), low.alias("low"), high.alias("high")).agg(F.count("*").alias("n"))
+
+
+def _cuckoo_place(e: Column, buckets: int) -> tuple[Column, Column, Column]:
+    part = lambda text, at: F.conv(F.substring(F.md5(text), at, 8), 16, 10).cast("long")
+    mark = part(e, 1) % 65535 + 1
+    one = part(e, 9) % buckets
+    two = one.bitwiseXOR(part(mark.cast("string"), 1) % buckets)
+    return mark, F.least(one, two), F.greatest(one, two)
+
+
+def cuckoo_count(cells: DataFrame, probes: DataFrame, buckets: int) -> DataFrame:
+    """probes: e. How often an element may have been added: never too few."""
+    mark, low, high = _cuckoo_place(F.col("e"), buckets)
+    p = probes.select("e", mark.alias("mark"), low.alias("low"), high.alias("high"))
+    return p.join(cells, ["mark", "low", "high"], "left").select("e", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def cuckoo_del(cells: DataFrame, gone: DataFrame, buckets: int) -> DataFrame:
+    """gone: e. One occurrence less for each; what isn't there stays away."""
+    less = cuckoo_cells(gone, F.col("e"), buckets).withColumnRenamed("n", "less")
+    left = cells.join(less, ["mark", "low", "high"], "left").withColumn("n", F.col("n") - F.coalesce("less", F.lit(0)))
+    return left.where("n > 0").drop("less")
+
+
+def rank_of(values: DataFrame, by: str, value: str, x: float) -> DataFrame:
+    """How many values of each key are below x, and above it."""
+    v = F.col(value)
+    return values.groupBy(by).agg(F.count_if(v < x).alias("below"), F.count_if(v > x).alias("above"))
+
+
+def by_rank(values: DataFrame, by: str, value: str, rank: int, reverse: bool = False) -> DataFrame:
+    """The value at a rank from 0, smallest first; counted from the largest if reverse."""
+    v = F.col(value)
+    w = Window.partitionBy(by).orderBy(v.desc() if reverse else v)
+    return values.withColumn("r", F.row_number().over(w)).where(F.col("r") == rank + 1).select(by, v.alias("value"))
+
+
+def trimmed_mean(values: DataFrame, by: str, value: str, low: float, high: float) -> DataFrame:
+    """Mean of each key's values from one share of them to another. Equal values count as one weight, as centroids do, so
+    a value that many rows have is a row here."""
+    c = values.groupBy(by, value).agg(F.count("*").alias("w"))
+    total = c.groupBy(by).agg(F.sum("w").alias("total"))
+    upto = F.sum("w").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    part = F.greatest(F.least(F.col("upto"), F.col("total") * high) - F.greatest(F.col("upto") - F.col("w"), F.col("total") * low), F.lit(0.0))
+    return c.withColumn("upto", upto).join(total, by).withColumn("part", part).groupBy(by).agg((F.sum(F.col(value) * F.col("part")) / F.sum("part")).alias("mean"))
+
+
+def extremes(values: DataFrame, by: str, value: str) -> DataFrame:
+    return values.groupBy(by).agg(F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def expire(kv: DataFrame, at_ms: int, only: str = "") -> DataFrame:
+    """only: "NX" keys without a time to live, "XX" with one, "GT" to a later, "LT" to an earlier time; a key without one
+    passes GT and LT."""
+    old = F.col("expire_at_ms")
+    may = {"": F.lit(True), "NX": old == 0, "XX": old != 0, "GT": (old == 0) | (F.lit(at_ms) > old), "LT": (old == 0) | (F.lit(at_ms) < old)}[only.upper()]
+    return kv.withColumn("expire_at_ms", F.when(may, F.lit(at_ms).cast("long")).otherwise(old))
+
+
+def numsub(subscriptions: DataFrame, channels: DataFrame) -> DataFrame:
+    """Subscribers of each channel asked for."""
+    n = subscriptions.groupBy("channel").agg(F.countDistinct("subscriber").alias("n"))
+    return channels.join(n, "channel", "left").select("channel", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def publish_patterns(messages: DataFrame, patterns: list[str]) -> DataFrame:
+    """A row for each message and pattern that its channel matches. Patterns are few and stand in the plan."""
+    hits = F.array_compact(F.array(*(F.when(glob(F.col("channel"), p), F.lit(p)) for p in patterns)))
+    return messages.withColumn("pattern", F.explode(hits))
+
+
+def keyspace_events(log: DataFrame) -> DataFrame:
+    """Notifications of a log's commands: a channel a key with the command, and one a command with the key."""
+    at = F.array(F.struct(F.concat(F.lit("__keyspace@0__:"), "key").alias("channel"), F.col("cmd").alias("message")), F.struct(F.concat(F.lit("__keyevent@0__:"), "cmd").alias("channel"), F.col("key").alias("message")))
+    return log.select("seq", F.inline(at))
+
+
+def slot_ranges(owners: DataFrame) -> DataFrame:
+    """owners: slot, shard. Runs of neighbouring slots of one shard."""
+    w = Window.partitionBy("shard").orderBy("slot")
+    g = owners.withColumn("run", F.col("slot") - F.row_number().over(w))
+    return g.groupBy("shard", "run").agg(F.min("slot").alias("first"), F.max("slot").alias("last")).drop("run")

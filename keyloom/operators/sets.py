@@ -6,6 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.columns import glob
 
 
 def members(sm: DataFrame, key: str) -> DataFrame:
@@ -43,7 +46,36 @@ def smismember(sm: DataFrame, probes: DataFrame) -> DataFrame:
 
 def srandmember(sm: DataFrame, count: int, seed: int) -> DataFrame:
     """So many members of each key, by a seeded hash."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "member"), "member")
     return sm.withColumn("r", F.row_number().over(w)).where(F.col("r") <= count).select("key", "member")
+
+
+def sadd(sm: DataFrame, new: DataFrame) -> DataFrame:
+    return sm.unionByName(new.select("key", "member").distinct().join(sm, ["key", "member"], "left_anti"))
+
+
+def srem(sm: DataFrame, gone: DataFrame) -> DataFrame:
+    return sm.join(gone, ["key", "member"], "left_anti")
+
+
+def smove(sm: DataFrame, src: str, dst: str, member: str) -> DataFrame:
+    """Nothing moves where src lacks the member."""
+    one = sm.where((F.col("key") == src) & (F.col("member") == member))
+    return sadd(srem(sm, one), one.select(F.lit(dst).alias("key"), "member"))
+
+
+def store(sm: DataFrame, dst: str, found: DataFrame) -> DataFrame:
+    """SINTERSTORE, SUNIONSTORE, SDIFFSTORE: the members found become the set dst, over what it held."""
+    return sm.where(F.col("key") != dst).unionByName(found.select(F.lit(dst).alias("key"), "member"))
+
+
+def sscan(sm: DataFrame, cursor: int = 0, count: int = 10, match: str = "*") -> DataFrame:
+    """So many members of each key from a place on, in member order."""
+    w = Window.partitionBy("key").orderBy("member")
+    found = sm.where(glob(F.col("member"), match)).withColumn("r", F.row_number().over(w))
+    return found.where((F.col("r") > cursor) & (F.col("r") <= cursor + count)).select("key", "member")
+
+
+def spop(sm: DataFrame, count: int, seed: int) -> DataFrame:
+    """The sets without so many members of each key, chosen by a seeded hash."""
+    return srem(sm, srandmember(sm, count, seed))

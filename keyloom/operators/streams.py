@@ -44,3 +44,33 @@ def xinfo(xs: DataFrame) -> DataFrame:
 def pending(delivered: DataFrame, acked: DataFrame, by: list[str]) -> DataFrame:
     """Entries delivered and not acknowledged."""
     return delivered.join(acked, by, "left_anti")
+
+
+def xdel(xs: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids: key, ms, seq."""
+    return xs.join(ids, ["key", "ms", "seq"], "left_anti")
+
+
+def xtrim_minid(xs: DataFrame, ms: int, seq: int = 0) -> DataFrame:
+    """Keeps entries from an id on."""
+    return xs.where(_after(ms, seq) | ((F.col("ms") == ms) & (F.col("seq") == seq)))
+
+
+def xadd(xs: DataFrame, new: DataFrame) -> DataFrame:
+    """new: xs's columns. Only entries above the newest id of their stream are taken; a stream that doesn't exist takes all."""
+    newest = xs.groupBy("key").agg(F.max(F.struct("ms", "seq")).alias("newest"))
+    fresh = new.join(newest, "key", "left").where(F.col("newest").isNull() | (F.struct("ms", "seq") > F.col("newest"))).drop("newest")
+    return xs.unionByName(fresh)
+
+
+def xreadgroup(xs: DataFrame, cursors: DataFrame, count: int) -> DataFrame:
+    """cursors: key, grp, ms, seq, the last id delivered to each group; one row a key and group. The next entries."""
+    c = cursors.select("key", "grp", F.struct("ms", "seq").alias("last"))
+    w = Window.partitionBy("key", "grp").orderBy("ms", "seq")
+    ahead = xs.join(c, "key").where(F.struct("ms", "seq") > F.col("last")).drop("last")
+    return ahead.withColumn("r", F.row_number().over(w)).where(F.col("r") <= count).drop("r")
+
+
+def xreadgroup_again(delivered: DataFrame, acked: DataFrame, ms: int, seq: int = 0) -> DataFrame:
+    """Reading by an id: what was delivered from that id on, itself included, and isn't acknowledged."""
+    return xtrim_minid(xdel(delivered, acked), ms, seq)

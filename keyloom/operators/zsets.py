@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import glob, index_range
+
 
 def _order(reverse: bool):
     return [F.desc("score"), F.desc("member")] if reverse else ["score", "member"]
@@ -22,8 +24,7 @@ def zrange(zm: DataFrame, start: int, stop: int, reverse: bool = False) -> DataF
     if start >= 0 and stop >= 0:
         return zrank(zm, reverse).where(F.col("rank").between(start, stop))
     n = zm.groupBy("key").agg(F.count("*").alias("n"))
-    lo = F.lit(start) if start >= 0 else F.greatest(F.col("n") + start, F.lit(0))
-    hi = F.lit(stop) if stop >= 0 else F.col("n") + stop
+    lo, hi = index_range(F.col("n"), start, stop)
     return zrank(zm, reverse).join(n, "key").where(F.col("rank").between(lo, hi)).drop("n")
 
 
@@ -62,3 +63,29 @@ def zpopmin(zm: DataFrame, count: int = 1) -> DataFrame:
 
 def zpopmin_rest(zm: DataFrame, count: int = 1) -> DataFrame:
     return zrank(zm).where(F.col("rank") >= count).select("key", "member", "score")
+
+
+def zrem(zm: DataFrame, gone: DataFrame) -> DataFrame:
+    return zm.join(gone, ["key", "member"], "left_anti")
+
+
+def zpopmax(zm: DataFrame, count: int = 1) -> DataFrame:
+    return zrange(zm, 0, count - 1, reverse=True)
+
+
+def zrevrangebyscore(zm: DataFrame, high: float, low: float, offset: int = 0, count: int | None = None) -> DataFrame:
+    inside = zrank(zm.where(F.col("score").between(low, high)), reverse=True)
+    return inside.where((F.col("rank") >= offset) & (F.col("rank") < offset + count if count is not None else F.lit(True))).select("key", "member", "score")
+
+
+def zscan(zm: DataFrame, cursor: int = 0, count: int = 10, match: str = "*") -> DataFrame:
+    """So many members of each key from a place on, in member order."""
+    w = Window.partitionBy("key").orderBy("member")
+    found = zm.where(glob(F.col("member"), match)).withColumn("r", F.row_number().over(w))
+    return found.where((F.col("r") > cursor) & (F.col("r") <= cursor + count)).select("key", "member", "score")
+
+
+def zrandmember(zm: DataFrame, count: int, seed: int) -> DataFrame:
+    """So many members of each key, by a seeded hash."""
+    w = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "member"), "member")
+    return zm.withColumn("r", F.row_number().over(w)).where(F.col("r") <= count).select("key", "member", "score")

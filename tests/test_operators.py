@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from keyloom.functions.columns import byte_range, geo_score, glob, slot
-from keyloom.operators import hashes, others, strings, zsets
+from keyloom.operators import documents, hashes, lists, others, strings, zsets
 from keyloom.streaming import consume
 
 
@@ -58,3 +58,50 @@ def test_streaming_rate(spark, tmp_path):
     q = consume.rate(consume.follow(spark, str(tmp_path / "in")), "1 day").writeStream.format("memory").queryName("rate").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.sql("select sum(n) from rate").first()[0] == e.count()
+
+
+def test_negative_stop_before_the_first_place(spark):
+    le = spark.createDataFrame([("k", i, v) for i, v in enumerate("abc")], "key string, pos long, value string")
+    assert [r.value for r in lists.lrange(le, 0, -100).collect()] == ["a"]
+    assert lists.lindex(le, -100).count() == 0 and lists.lindex(le, -1).first().value == "c"
+    assert {r.pos: r.value for r in lists.lset(le, -100, "x").collect()} == {0: "x", 1: "b", 2: "c"}
+    assert [r.value for r in lists.rpop(le, 5).orderBy("pos").collect()] == ["a", "b", "c"]
+    z = spark.createDataFrame([("k", v, float(i)) for i, v in enumerate("abc")], "key string, member string, score double")
+    assert [r.member for r in zsets.zrange(z, 0, -100).collect()] == ["a"]
+    assert [r.member for r in zsets.zrange(z, -2, -1).orderBy("rank").collect()] == ["b", "c"]
+
+
+def test_glob_classes(spark):
+    for pattern, key, want in (("a[!x]c", "abc", True), ("a[!b]c", "abc", False), ("a[b-d]c", "acc", True), ("a[]c", "a]c", False), ("a[&&]c", "a&c", True), ("*" * 1025, "a", False)):
+        assert one(spark, glob(F.lit(key), pattern)) is want
+
+
+def test_geo_of_known_places(spark):
+    g = spark.createDataFrame([("s", "Palermo", 13.361389, 38.115556), ("s", "Catania", 15.087269, 37.502669), ("s", "Rome", 12.496366, 41.902782)], "key string, member string, lng double, lat double")
+    held = others.geoadd(g)
+    assert {r.member: r.geohash for r in others.geohash(held).collect()} == {"Palermo": "sqc8b49rnys", "Catania": "sqdtr74hyu0", "Rome": "sr2ykk5t6ks"}
+    pairs = spark.createDataFrame([("s", "Palermo", "Catania"), ("s", "Palermo", "Rome"), ("s", "Rome", "none")], "key string, a string, b string")
+    far = {(r.a, r.b): r.metres and round(r.metres, 4) for r in others.geodist_members(others.geopos(held), pairs).collect()}
+    assert far == {("Palermo", "Catania"): 166227.2258, ("Palermo", "Rome"): 427508.8143, ("Rome", "none"): None}
+
+
+def test_json_setters_leave_others_alone(spark):
+    jd = spark.createDataFrame([("a", '{"k": 5, "s": "h\\"i", "l": [1], "o": {"x": 1.5}}'), ("b", "[1]"), ("c", None), ("d", "{}")], "key string, doc string")
+    docs = lambda df: {r.key: r.doc for r in df.collect()}
+    assert docs(documents.json_del(jd, "s")) == {"a": '{"k":5,"l":[1],"o":{"x":1.5}}', "b": "[1]", "c": None, "d": "{}"}
+    assert docs(documents.json_set(jd, "k", "7", "XX"))["d"] == "{}" and docs(documents.json_set(jd, "k", "7", "NX"))["d"] == '{"k":7}'
+    assert docs(documents.json_clear(jd, "o"))["a"] == '{"k":5,"l":[1],"o":{},"s":"h\\"i"}'
+    assert docs(documents.json_arrappend(jd, "l", "2"))["a"] == '{"k":5,"l":[1,2],"o":{"x":1.5},"s":"h\\"i"}'
+
+
+def test_msetnx_is_all_or_nothing(spark):
+    kv = spark.createDataFrame([("a", "1")], "key string, value string")
+    new = spark.createDataFrame([("a", "2"), ("b", "2")], "key string, value string")
+    assert strings.msetnx(kv, new).count() == 1
+    assert {r.key: r.value for r in strings.msetnx(kv, new.where("key = 'b'")).collect()} == {"a": "1", "b": "2"}
+
+
+def test_cuckoo_del(spark):
+    e = spark.createDataFrame([("x",), ("x",), ("y",)], "e string")
+    left = others.cuckoo_del(others.cuckoo_cells(e, F.col("e"), 64), e.where("e = 'x'").limit(1).unionAll(e.where("e = 'y'")), 64)
+    assert {r.e: r.n for r in others.cuckoo_count(left, e.distinct(), 64).collect()} == {"x": 1, "y": 0}
