@@ -29,7 +29,7 @@ from .common import cut_lineage
 from .tokens import encode, vocabulary
 
 #: Pieces that are ranked in one share.
-SHARE = 50_000
+SHARE = 4_000
 #: Bound on the columns generated; the plan is feasible whenever it stops.
 COLUMNS = 3000
 #: Steps without a lower cost (few pieces, degenerate bases) after which the search ends.
@@ -250,7 +250,6 @@ def cut_pieces(docs: DataFrame, length: int = 1024, end_id: int = 0, id_col: str
 def pack_documents(docs: DataFrame, length: int = 1024, end_id: int = 0, **vocab) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     pieces = cut_lineage(cut_pieces(docs, length, end_id, **vocab))
-    salt = F.pmod(F.xxhash64("doc_id", "start"), F.lit(1 << 20))
     counts = pieces.groupBy("length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.collect()}  # at most `length` rows
     plan = plan_patterns(histogram, length)
@@ -258,23 +257,19 @@ def pack_documents(docs: DataFrame, length: int = 1024, end_id: int = 0, **vocab
     share_of = np.ones(length + 1, np.int64)
     for s, k in shares.items():
         share_of[s] = k
-    share = F.pmod(salt, F.element_at(F.lit(share_of.tolist()), (F.col("length") + 1).cast("int")))
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    share = F.pmod(F.xxhash64(*names), F.element_at(F.lit(share_of.tolist()), (F.col("length") + 1).cast("int")))
     dealt = pieces.withColumn("share", share)
-    begin: dict[tuple[int, int], int] = {}
-    at: dict[int, int] = {}
-    for r in sorted(dealt.groupBy("length", "share").count().collect()):  # a row for every SHARE pieces, and one a length
-        begin[r[0], r[1]] = at.get(r[0], 0)
-        at[r[0]] = begin[r[0], r[1]] + r[2]
+    # the ranks of the shares before: a row for every SHARE pieces, joined by the keys that the ranking is dealt by
+    ahead = Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1)
+    begin = dealt.groupBy("length", "share").agg(F.count("*").alias("n")).select("length", "share", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("begin"))
     w = Window.partitionBy("length", "share").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    ranked = dealt.withColumn("rank", F.row_number().over(w).cast("long") - 1)
+    ranked = dealt.join(begin, ["length", "share"]).select(*names, (F.col("begin") + F.row_number().over(w) - 1).cast("long").alias("rank"))
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                n, own = b.column("length").to_numpy(), b.column("share").to_pylist()
-                rank = b.column("rank").to_numpy() + np.array([begin[k] for k in zip(n.tolist(), own, strict=True)], np.int64)
-                sequence, offset = place(plan, n, rank)
+                sequence, offset = place(plan, b.column("length").to_numpy(), b.column("rank").to_numpy())
                 yield pa.record_batch([*(b.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     return ranked.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
