@@ -75,3 +75,14 @@ def hrandfield(hf: DataFrame, count: int, seed: int) -> DataFrame:
     """So many fields of each key, by a seeded hash."""
     w = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "field"), "field")
     return hf.withColumn("r", F.row_number().over(w)).where(F.col("r") <= count).select("key", "field", "value")
+
+
+def httl(hf: DataFrame, now_ms: int) -> DataFrame:
+    """hf with expire_at_ms. Milliseconds left of each field; -1 without a time to live, -2 if expired."""
+    e = F.col("expire_at_ms")
+    return hf.select("key", "field", F.when(e == 0, -1).when(e <= now_ms, -2).otherwise(e - now_ms).cast("long").alias("ttl_ms"))
+
+
+def hexpire(hf: DataFrame, fields: list[str], at_ms: int) -> DataFrame:
+    """at_ms 0 takes the time to live away (HPERSIST)."""
+    return hf.withColumn("expire_at_ms", F.when(F.col("field").isin(fields), F.lit(at_ms).cast("long")).otherwise(F.col("expire_at_ms")))

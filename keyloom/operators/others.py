@@ -325,3 +325,14 @@ def slot_ranges(owners: DataFrame) -> DataFrame:
     w = Window.partitionBy("shard").orderBy("slot")
     g = owners.withColumn("run", F.col("slot") - F.row_number().over(w))
     return g.groupBy("shard", "run").agg(F.min("slot").alias("first"), F.max("slot").alias("last")).drop("run")
+
+
+def bloom_size(capacity: int, error: float) -> tuple[int, int]:
+    """Bits and hashes of a Bloom filter for so many elements."""
+    bits = math.ceil(-capacity * math.log(error) / math.log(2) ** 2)
+    return bits, max(1, round(bits / capacity * math.log(2)))
+
+
+def cms_size(error: float, miss: float) -> tuple[int, int]:
+    """Width and depth of a count-min sketch: within `error` of all counts, but for a share `miss` of the answers."""
+    return math.ceil(math.e / error), math.ceil(math.log(1 / miss))

@@ -13,7 +13,7 @@ from ..operators import streams as X
 from ..operators import strings as T
 from ..operators import zsets as Z
 from ..sources import keyspace as K
-from . import fold
+from . import fold, replay
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -944,3 +944,45 @@ def keyspace_notifications(spark, d):
 @query('SELECT range AS shard, range * 256 AS "first", range * 256 + 255 AS "last" FROM range(4)')
 def cluster_slots(spark, d):
     return O.slot_ranges(spark.range(1024).select(F.col("id").alias("slot"), F.floor(F.col("id") / 256).alias("shard")))
+
+
+# commands that depend on those before them
+
+
+@query()
+def replay_ratelimit(spark, d):
+    return replay.ratelimit(K.cmdlog(spark, d).select("seq", "ts_ms", "key", F.lit(1).cast("long").alias("n")), 86_400_000, 2)
+
+
+@query()
+def replay_locks(spark, d):
+    cmd = F.when(F.col("cmd") == "error", "unlock").when(F.col("cmd") == "view", "extend").otherwise("lock")
+    owner = F.concat(F.lit("o"), (F.col("seq") % 3).cast("string"))
+    return replay.locks(K.cmdlog(spark, d).select("seq", "ts_ms", "key", cmd.alias("cmd"), owner.alias("owner"), F.lit(86_400_000).cast("long").alias("ttl_ms")))
+
+
+_CAS_SQL = ", s AS (SELECT seq, key, cmd, row_number() OVER (PARTITION BY key ORDER BY ts_ms, seq) AS r FROM log) SELECT seq, key, CAST(r = 1 AS BIGINT) AS swapped, first_value(cmd) OVER (PARTITION BY key ORDER BY r) AS value FROM s"
+
+
+@query(_CAS_SQL, "log")
+def replay_set_if_missing(spark, d):
+    return replay.compare_and_set(K.cmdlog(spark, d).select("seq", "ts_ms", "key", F.lit(None).cast("string").alias("expected"), F.col("cmd").alias("new")))
+
+
+def _fields_expiring(spark, d):
+    return K.hf(spark, d).withColumn("expire_at_ms", F.when(F.col("field") == "segment", F.lit(_NOW + 5000)).when(F.col("field") == "nation", F.lit(_NOW - 1)).otherwise(F.lit(0)).cast("long"))
+
+
+@query("SELECT key, field, CASE field WHEN 'segment' THEN 5000 WHEN 'nation' THEN -2 ELSE -1 END AS ttl_ms FROM hf", "hf")
+def hash_httl(spark, d):
+    return H.httl(_fields_expiring(spark, d), _NOW)
+
+
+@query(f"SELECT key, field, value, CASE field WHEN 'segment' THEN {_NOW + 9} WHEN 'nation' THEN {_NOW - 1} ELSE {_NOW + 9} END AS expire_at_ms FROM hf", "hf")
+def hash_hexpire(spark, d):
+    return H.hexpire(_fields_expiring(spark, d), ["name", "segment"], _NOW + 9)
+
+
+@query("SELECT key, field, value, 0 AS expire_at_ms FROM hf WHERE field <> 'nation'", "hf")
+def hash_hpersist_live(spark, d):
+    return O.alive(H.hexpire(_fields_expiring(spark, d), ["segment"], 0), _NOW)
