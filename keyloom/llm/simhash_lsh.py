@@ -7,9 +7,11 @@ within the radius collides in that table: no pair is missed, whatever the data.
 Only distinct fingerprints enter the tables, 2**(radius+1) - 1 times each, in packed arrays. A bucket links what lies
 within the radius and emits stars, never the pairs of a group; the stars are joined into components (components.py).
 
-near_duplicate_groups() is for documents that differ in a few words. Its fingerprints are of the distinct words of five
-letters or more, compared within a wider radius; candidates are then held to a Jaccard similarity of 0.8 or more of
-their 5-word shingles (lower-cased runs of letters and digits).
+similar_texts() is for documents that differ in words or passages: groups of a Jaccard similarity of 0.8 or more of their
+5-word shingles (lower-cased runs of letters and digits), by an exact prefix-filter join. In any one order of all shingles,
+two such sets share one of their first n - ceil(0.8 n) + 1; frequent ones (of a sample) come last in the order. Texts that
+share one are first held against three of them; then all pairs that these links have not joined are compared, after bounds
+by size and by sketches of their differences. No pair is missed. Texts and shingles are told apart by 64 bits of hash.
 
 Defined cases: null text counts as empty; texts without words have fingerprint zero, which links like any other; rows
 with a null id take part and get the smallest id reachable; repeated rows share a fingerprint; an empty table gives an
@@ -18,6 +20,8 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -33,8 +37,10 @@ from .windows import changes
 SHORT_RUN = 48
 #: Bytes of packed fingerprints to a bucket.
 BUCKET_BYTES = 8 << 20
-#: Texts of a candidate component that one task compares; larger components are merged in rounds.
-TEXTS = 512
+#: Bits of the sketches that rule pairs out; texts that are looked at for common shingles, and shingles kept of them.
+SKETCH, SAMPLE, COMMON = 1024, 10_000, 100_000
+#: Texts of a run that all others of it are held against first.
+LEADERS = 3
 _C = np.uint64(0xD1B54A32D192ED03)
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -60,15 +66,26 @@ def content_words(text: bytes) -> list[str]:
     return _WORD.findall(text.decode("utf-8", "replace").lower())
 
 
-def content_fingerprint(words: list[str]) -> int:
-    distinct = {w for w in words if len(w) >= 5} or set(words)
-    return majority(np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in distinct], np.uint64))
+class _Hashes(dict):
+    """Hashes of words, worked out once each."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word.encode(), 7)
+        return h
+
+
+_HASHES = _Hashes()
 
 
 def word_shingles(words: list[str], size: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles."""
-    grams = [" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))] if words else []
-    return np.unique(np.array([xxhash.xxh64_intdigest(g.encode(), 7) for g in grams], np.uint64))
+    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    n, out = min(size, len(h)), np.zeros(max(0, len(h) - size + 1) or min(1, len(h)), np.uint64)
+    for k in range(n):
+        out = mix(out ^ h[k : k + len(out)]) + _C
+    return np.unique(out)
 
 
 def _signed(x) -> np.ndarray:
@@ -195,80 +212,152 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
-def _cluster(ids: np.ndarray, sets: list[np.ndarray], least: float) -> np.ndarray:
-    """Components of sets at least so similar, as the index of their first member. A pair is compared only while its
-    members are in different components; sizes too different to reach the similarity aren't compared."""
-    label = np.arange(len(ids))
-    for i in range(1, len(ids)):
-        for j in range(i):
-            if label[j] != label[i] and min(len(sets[i]), len(sets[j])) >= least * max(len(sets[i]), len(sets[j])) and similarity(sets[i], sets[j]) >= least:
-                lo, hi = sorted((label[i], label[j]))
-                label[label == hi] = lo
-    return label
+def _sketch(shingles: np.ndarray) -> bytes:
+    """Parity of the number of shingles in each of SKETCH bins. Every shingle that only one of two sets has changes one
+    bit at most, so the differing bits of two sketches never outnumber those shingles."""
+    return np.packbits(np.bincount((shingles >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1 == 1).tobytes()
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 7, least: float = 0.8) -> DataFrame:
-    """doc_id, group_id: the smallest id of the documents that are copies or near copies of each other.
+def _node(words: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(words).encode(), 11)
 
-    Documents with the same words are one class. Classes whose fingerprints link are candidates; a candidate component
-    of up to TEXTS classes is compared as a whole. A larger one is dealt into parts of that size; the most central class
-    of each cluster found goes to the next round, until one part is left.
-    """
 
-    def mark(batches):
+def _common(base: DataFrame, n: int) -> np.ndarray:
+    """Shingles that repeat in a sample, the most frequent last. Only the order of prefixes depends on it, no result."""
+
+    def sample(batches):
         for b in batches:
-            known: dict[bytes, tuple] = {}
-            out = []
-            for t in b.column(1).to_pylist():
-                got = known.get(t)
-                if got is None:
-                    w = content_words(t)
-                    joined = " ".join(w).encode()
-                    got = known[t] = (content_fingerprint(w), xxhash.xxh128_digest(joined))
-                out.append(got)
-            yield pa.record_batch([b.column(0), pa.array(_signed([x[0] for x in out])), pa.array([x[1] for x in out], pa.binary())], ["doc_id", "fp", "words"])
+            every = [word_shingles(content_words(t)) for t in b.column("text").to_pylist()]
+            h, k = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_counts=True)
+            yield pa.record_batch([pa.array(_signed(h)), pa.array(k.astype(np.int64))], ["h", "k"])
+
+    some = base if n <= SAMPLE else base.sample(SAMPLE / n, seed=1)
+    top = some.select("text").mapInArrow(sample, "h long, k long").groupBy("h").agg(F.sum("k").alias("k")).where("k > 1").orderBy(F.desc("k"), "h").limit(COMMON)
+    return np.array([r.h for r in top.collect()], np.int64).view(np.uint64)[::-1]
+
 
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"))
-    marked = cut_lineage(base.mapInArrow(mark, "doc_id long, fp long, words binary"))
-    classes = cut_lineage(marked.groupBy("words", "fp").agg(F.min("doc_id").alias("head")))
-    roots = link_fingerprints(classes.select("fp").distinct(), radius)
-    joined = classes.join(roots, classes.fp == roots.node, "left").select("head", F.coalesce("root", "fp").alias("part"))
-    size = joined.groupBy("part").agg(F.count("*").alias("n"))
-    alone = joined.join(size.where("n > 1"), "part").select("head", "part", "n")
+def _prefix(shingles: np.ndarray, known: np.ndarray, place: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles of a set, in one order for all sets: two sets of a similarity of `least` share one of them."""
+    size = len(shingles) - math.ceil(least * len(shingles) - 1e-9) + 1
+    if not len(known) or not len(shingles):
+        return shingles[:size]
+    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+    return shingles[np.argsort(np.where(known[at] == shingles, place[at], 0), kind="stable")[:size]]
+
+
+def _shared(base: DataFrame, classes: DataFrame, n: int, least: float) -> DataFrame:
+    """h, node: the prefix shingles that two texts or more have."""
+    common = _common(base, n)
+    order = np.argsort(common)
+    known, place = common[order], order + 1
+    buckets = max(1, -(-int(classes.agg(F.sum("size")).first()[0] or 0) * 4 // BUCKET_BYTES))
+
+    def deal(batches):
+        for b in batches:
+            done, h, node = set(), [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+            for t in b.column("text").to_pylist():
+                words = content_words(t)
+                name = _node(words)
+                if name not in done:
+                    done.add(name)
+                    h.append(_prefix(word_shingles(words), known, place, least))
+                    node.append(np.full(len(h[-1]), name, np.uint64))
+            h, node = np.concatenate(h), np.concatenate(node)
+            to = mix(h) % np.uint64(buckets)
+            order = np.argsort(to, kind="stable")
+            cut = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
+            rows = [(k, pack(h[order[i:j]], node[order[i:j]])) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
+
+    def meet(key, sent):
+        got = [unpack(x, np.uint64, np.uint64) for x in sent["payload"].to_pylist()]
+        h, node = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+        order = np.lexsort((node, h))
+        h, node = h[order], node[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (node[1:] != node[:-1])))
+        h, node = h[new], node[new]
+        same = h[1:] == h[:-1]
+        keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        return pa.table({"h": pa.array(_signed(h[keep])), "node": pa.array(_signed(node[keep]))})
+
+    return cut_lineage(base.select("text").mapInArrow(deal, "bucket long, payload binary").groupBy("bucket").applyInArrow(meet, "h long, node long"))
+
+
+def _verified(pairs: DataFrame, base: DataFrame, marked: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Those of the pairs a, b of nodes whose texts are at least so similar."""
+
+    def possible(batches):
+        for b in batches:
+            m, n = b.column("m").to_numpy(), b.column("n").to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for c in ("x", "y"))
+            far = np.bitwise_count(x ^ y).sum(axis=1)
+            yield b.select(["a", "b"]).filter(pa.array(far <= (m + n) * ((1 - least) / (1 + least)) + 1e-6))
+
+    one = classes.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x"))
+    two = classes.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("y"))
+    near = cut_lineage(pairs.join(one, "a").join(two, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(possible, "a long, b long"))
+    wanted = near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))).distinct()
+    place = marked.join(wanted, "node").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("of")).select("node", F.col("of.doc_id").alias("_id"), F.col("of.digest").alias("_digest"))
 
     def shingle(batches):
         for b in batches:
             sets = [word_shingles(content_words(t)).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("head"), b.column("part"), b.column("n"), pa.array(sets, pa.binary())], ["head", "part", "n", "shingles"])
-
-    held = alone.join(base, alone["head"] == base.doc_id).dropDuplicates(["head"]).select("head", "part", "n", "text").mapInArrow(shingle, "head long, part long, n long, shingles binary")
-    left, links = cut_lineage(held), None
-
-    def compare(key, texts):
-        texts = texts.sort_by("head")
-        ids = texts["head"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in texts["shingles"].to_pylist()]
-        label = _cluster(ids, sets, least)
-        centre = np.zeros(len(ids), bool)
-        for c in np.unique(label):
-            own = np.flatnonzero(label == c)
-            common, n = np.unique(np.concatenate([sets[i] for i in own]), return_counts=True)
-            common = common[n * 2 > len(own)]
-            centre[max(own, key=lambda i: similarity(sets[i], common))] = True
-        return pa.table({"a": pa.array(ids), "b": pa.array(ids[label]), "part": texts["part"], "centre": pa.array(centre), "shingles": texts["shingles"]})
-
-    while True:
-        shares = F.ceil(F.col("n") / TEXTS)
-        dealt = left.withColumn("share", F.pmod(F.xxhash64("head", "n"), shares))
-        got = cut_lineage(dealt.groupBy("part", "share").applyInArrow(compare, "a long, b long, part long, centre boolean, shingles binary"))
-        new = got.where("a <> b").select("a", "b")
-        links = new if links is None else links.unionAll(new)
-        central = got.where("centre").select(F.col("a").alias("head"), "part", "shingles")
-        big = left.where(F.col("n") > TEXTS).select("part", F.col("n").alias("was")).distinct()
-        sizes = central.groupBy("part").agg(F.count("*").alias("n")).join(big, "part").where("n > 1 AND n < was").select("part", "n")
-        left = cut_lineage(central.join(sizes, "part").select("head", "part", "n", "shingles"))
-        if left.isEmpty():
-            break
+            yield pa.record_batch([b.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    texts = base.join(place, F.col("digest").eqNullSafe(F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+    sets = cut_lineage(texts.mapInArrow(shingle, "node long, shingles binary").dropDuplicates(["node"]))
+
+    def compare(batches):
+        for b in batches:
+            hit = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    """doc_id, digest (MD5 of the text's bytes), root (long; the same for all rows of a group) for every row."""
+    text = text_bytes(text_col)
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(text).alias("digest"), text.alias("text"))
+
+    def mark(batches):
+        for b in batches:
+            known: dict[str, tuple] = {}
+            out = []
+            for d, t in zip(b.column("digest").to_pylist(), b.column("text").to_pylist(), strict=True):
+                got = known.get(d)
+                if got is None:
+                    words = content_words(t)
+                    shingles = word_shingles(words)
+                    got = known[d] = (_node(words), len(shingles), _sketch(shingles))
+                out.append(got)
+            yield pa.record_batch([b.column("doc_id"), b.column("digest"), pa.array(_signed([x[0] for x in out])), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["doc_id", "digest", "node", "size", "sketch"])
+
+    marked = cut_lineage(base.mapInArrow(mark, "doc_id long, digest string, node long, size long, sketch binary"))
+    classes = cut_lineage(marked.groupBy("node").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch")))
+    shared = _shared(base, classes, marked.count(), least)
+    sized = shared.join(classes.select("node", "size"), "node")
+    leads = [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(LEADERS)]
+    lead = shared.groupBy("h").agg(F.array(*leads).alias("lead")).select("h", F.explode("lead").alias("lead"))
+    stars = shared.join(lead, "h").where("node <> lead").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
+    links = _verified(stars, base, marked, classes, least)
+    # every pair that the stars have not joined
     roots = connected(links)
-    groups = classes.join(roots, classes["head"] == roots.node, "left").select("words", F.coalesce("root", "head").alias("group_id"))
-    return marked.select("doc_id", "words").join(groups, "words").select("doc_id", "group_id")
+    labelled = sized.join(roots, "node", "left").select("h", "node", "size", F.coalesce("root", "node").alias("root"))
+    mixed = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    members = cut_lineage(labelled.join(mixed, "h").groupBy("h", "root").agg(F.collect_list(F.struct("node", "size")).alias("m")))
+    left, right = members.select("h", F.col("root").alias("r"), F.col("m").alias("p")), members.select("h", F.col("root").alias("s"), F.col("m").alias("q"))
+    cross = left.join(right, "h").where("r < s").select(F.explode("p").alias("p"), "q").select("p", F.explode("q").alias("q"))
+    fits = F.least("p.size", "q.size") >= F.greatest("p.size", "q.size") * F.lit(least) - 1e-6
+    pairs = cross.where(fits).select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct()
+    rest = _verified(pairs.join(stars, ["a", "b"], "left_anti"), base, marked, classes, least)
+    roots = connected(links.unionAll(rest))
+    return marked.join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    """doc_id, group_id: the smallest id of the documents that are copies or near copies of each other, directly or
+    through others."""
+    rows = cut_lineage(similar_texts(docs, id_col, text_col, least))
+    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("group_id")), "root").select("doc_id", "group_id")

@@ -102,3 +102,20 @@ def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_near_duplicates(none).count() == 0
     assert near_duplicate_groups(none).count() == 0
+
+
+def test_near_copies_among_many_linked_texts(spark):
+    r = random.Random(3)
+    words = ["word%d" % k for k in range(80)]
+    docs, want = [], {}
+    for i in range(1100):  # the same words in another order: linked by words, but not similar
+        docs.append((i, " ".join(r.sample(words, 80))))
+        want[i] = i
+    for k in range(12):
+        of = 90 * k
+        c = docs[of][1].split()
+        c[40] = "edited"
+        docs.append((2000 + k, " ".join(c)))
+        want[2000 + k] = of
+    got = {x.doc_id: x.group_id for x in near_duplicate_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
