@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from keyloom.llm.simhash_lsh import covering_masks, link_fingerprints, near_duplicate_groups, near_links, simhash_near_duplicates
+from keyloom.llm.simhash_lsh import covering_masks, link_fingerprints, near_duplicate_groups, near_links, simhash_near_duplicates, similarity, word_shingles
 
 
 def brute_fp(text):
@@ -119,3 +119,20 @@ def test_near_copies_among_many_linked_texts(spark):
         want[2000 + k] = of
     got = {x.doc_id: x.group_id for x in near_duplicate_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     assert got == want
+
+
+def test_block_edits(spark):
+    r = random.Random(4)
+    vocabulary = ["word%d" % k for k in range(5000)]
+    weights = [1 / (k + 1) for k in range(5000)]
+    docs, pairs = [], []
+    for i in range(120):
+        base = r.choices(vocabulary, weights, k=r.choice([60, 300, 1000]))
+        n, fresh = len(base), lambda k: r.choices(vocabulary, weights, k=k)
+        at = r.randrange(n // 2)
+        copy = [base + fresh(n // 10), base[: n * 9 // 10], base + fresh(n * 18 // 100), base[: n * 82 // 100], base[:at] + fresh(n * 9 // 100) + base[at + n * 9 // 100 :]][i % 5]
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        if similarity(*(word_shingles(w) for w in (base, copy))) >= 0.8:
+            pairs.append(2 * i)
+    got = {x.doc_id: x.group_id for x in near_duplicate_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert len(pairs) > 90 and got == {i: i - 1 if i - 1 in pairs else i for i, _ in docs}
