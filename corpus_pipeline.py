@@ -3,19 +3,19 @@
 A function takes (spark, docs, sf_dir) and returns a DataFrame, the next one's docs. All but the last return the columns
 of documents. Each works on all that its predecessor kept.
 
-Defined cases: the operators' own; of rows that share an id near_dedup keeps one; an empty table runs through empty.
+Defined cases: the operators' own; rows that share an id are documents of their own unless their texts are near copies; an empty table runs through empty.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import table
+from keyloom.llm.common import table, text_bytes
 from keyloom.llm.decontaminate import contamination
 from keyloom.llm.pii_feistel import pseudonymise
 from keyloom.llm.quality_rules import score_quality
 from keyloom.llm.queries import PII_KEY
-from keyloom.llm.simhash_lsh import near_duplicate_groups
+from keyloom.llm.simhash_lsh import similar_texts
 from keyloom.llm.stock_packing import pack_documents
 
 
@@ -26,9 +26,12 @@ def quality(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group of copies and near copies: the one with the smallest id."""
-    stay = near_duplicate_groups(docs).where("doc_id <=> group_id").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of copies and near copies: the one with the smallest id (null ids last, then by text)."""
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest"))).alias("first")
+    stay = similar_texts(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_stay"), F.col("first.digest").alias("_digest"))
+    marked = docs.withColumn("_md5", F.md5(text_bytes("text")))
+    kept = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")) & (F.col("_md5") == F.col("_digest")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_md5"]).drop("_md5")
 
 
 def decontamination(spark, docs, sf_dir):

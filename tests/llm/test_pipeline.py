@@ -82,3 +82,13 @@ def test_odd_tables(spark, tmp_path):
     for _, f in P.STAGES[1:4]:
         docs = f(spark, docs, str(tmp_path))
     assert sorted(map(str, (r.doc_id for r in docs.collect()))) == ["1", "3", "None"]
+
+
+def test_near_dedup_keeps_different_texts_of_one_id(spark):
+    words = [[f"{a}{k}" for k in range(40)] for a in "pqrstu"]
+    texts = [" ".join(w) for w in words]
+    near = " ".join([*words[0][:-1], "edited"])
+    docs = [(1, texts[0]), (7, near), (7, texts[1]), (None, texts[2]), (None, texts[3]), (None, texts[3]), (None, near), (9, texts[4]), (9, texts[4]), (3, texts[5])]
+    got = dict(P.STAGES)["near_dedup"](spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), D)
+    want = [(1, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3]), (9, texts[4]), (3, texts[5])]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
