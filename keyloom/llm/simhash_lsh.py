@@ -38,9 +38,13 @@ SHORT_RUN = 48
 #: Bytes of packed fingerprints to a bucket.
 BUCKET_BYTES = 8 << 20
 #: Bits of the sketches that rule pairs out; texts that are looked at for common shingles, and shingles kept of them.
-SKETCH, SAMPLE, COMMON = 1024, 10_000, 100_000
+SKETCH, SAMPLE, COMMON = 1024, 4_000, 100_000
 #: Texts of a run that all others of it are held against first.
 LEADERS = 3
+#: Rounds of such leaders, each of the largest group of its run, before all that is left is compared pair by pair.
+ROUNDS = 4
+#: Texts to compare whose places are broadcast at most (about 60 bytes each); beyond it they are joined by shuffle.
+BROADCAST_ROWS = 200_000
 _C = np.uint64(0xD1B54A32D192ED03)
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -304,6 +308,8 @@ def _verified(pairs: DataFrame, base: DataFrame, marked: DataFrame, classes: Dat
             sets = [word_shingles(content_words(t)).tobytes() for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
+    place = cut_lineage(place)
+    place = F.broadcast(place) if place.count() <= BROADCAST_ROWS else place
     texts = base.join(place, F.col("digest").eqNullSafe(F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
     sets = cut_lineage(texts.mapInArrow(shingle, "node long, shingles binary").dropDuplicates(["node"]))
 
@@ -338,20 +344,31 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = cut_lineage(marked.groupBy("node").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch")))
     shared = _shared(base, classes, marked.count(), least)
     sized = shared.join(classes.select("node", "size"), "node")
-    leads = [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(LEADERS)]
-    lead = shared.groupBy("h").agg(F.array(*leads).alias("lead")).select("h", F.explode("lead").alias("lead"))
-    stars = shared.join(lead, "h").where("node <> lead").select(F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
-    links = _verified(stars, base, marked, classes, least)
+    fits = F.least("p.size", "q.size") >= F.greatest("p.size", "q.size") * F.lit(least) - 1e-6
+    pair = [F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")]
+    links, done, roots = None, None, None
+    for k in range(ROUNDS + 1):
+        labelled = sized.withColumn("root", F.col("node")) if roots is None else sized.join(roots, "node", "left").select("h", "node", "size", F.coalesce("root", "node").alias("root"))
+        mixed = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+        labelled = cut_lineage(labelled.join(mixed, "h"))
+        if k == ROUNDS:
+            break
+        leads = [F.min_by(F.struct("node", "size"), F.xxhash64("node", F.lit(LEADERS * k + i))) for i in range(LEADERS)]
+        own = labelled.withColumn("root", F.col("root") if k else F.lit(0).cast("long")).groupBy("h", "root").agg(F.count("*").alias("n"), F.array(*leads).alias("q"))
+        lead = own.groupBy("h").agg(F.max_by(F.struct(F.col("root").alias("s"), "q"), F.struct("n", "root")).alias("x")).select("h", F.col("x.s").alias("s"), F.explode("x.q").alias("q"))
+        stars = labelled.select("h", "root", F.struct("node", "size").alias("p")).join(lead, "h").where(("root <> s" if k else "p.node <> q.node")).where(fits).select(*pair).distinct()
+        stars = cut_lineage(stars if done is None else stars.join(done, ["a", "b"], "left_anti"))
+        new = _verified(stars, base, marked, classes, least)
+        links, done = (new, stars) if links is None else (links.unionAll(new), done.unionAll(stars))
+        if new.isEmpty():
+            break
+        roots = connected(links)
     # every pair that the stars have not joined
-    roots = connected(links)
-    labelled = sized.join(roots, "node", "left").select("h", "node", "size", F.coalesce("root", "node").alias("root"))
-    mixed = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    members = cut_lineage(labelled.join(mixed, "h").groupBy("h", "root").agg(F.collect_list(F.struct("node", "size")).alias("m")))
+    members = cut_lineage(labelled.groupBy("h", "root").agg(F.collect_list(F.struct("node", "size")).alias("m")))
     left, right = members.select("h", F.col("root").alias("r"), F.col("m").alias("p")), members.select("h", F.col("root").alias("s"), F.col("m").alias("q"))
     cross = left.join(right, "h").where("r < s").select(F.explode("p").alias("p"), "q").select("p", F.explode("q").alias("q"))
-    fits = F.least("p.size", "q.size") >= F.greatest("p.size", "q.size") * F.lit(least) - 1e-6
-    pairs = cross.where(fits).select(F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")).distinct()
-    rest = _verified(pairs.join(stars, ["a", "b"], "left_anti"), base, marked, classes, least)
+    pairs = cross.where(fits).select(*pair).distinct()
+    rest = _verified(pairs.join(done, ["a", "b"], "left_anti"), base, marked, classes, least)
     roots = connected(links.unionAll(rest))
     return marked.join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
 
