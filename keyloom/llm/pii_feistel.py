@@ -3,7 +3,8 @@
 Validated numbers and dates are permuted by a keyed Feistel network within their own format, so a value has the same
 pseudonym in every document and two values never share one:
 
-  card numbers  13 to 19 digits with a valid check digit -> the same length, a valid check digit, separators kept
+  card numbers  13 to 19 digits with a valid check digit -> the same length, a valid check digit, separators kept;
+                beside other short numbers the longest run of whole groups that is valid
   phone numbers +c (aaa) eee-nnnn and alike -> the last ten digits permuted, the rest kept
   social security numbers ddd-dd-dddd -> nine digits permuted
   IPv4 addresses -> a valid address
@@ -93,11 +94,30 @@ def _into(form: Column, digits: Column) -> Column:
     return F.aggregate(F.split(form, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), put, lambda s: s["out"])
 
 
+def _card_within(m: Column) -> Column:
+    """struct(at, run): the longest run of whole groups of digits with 13 to 19 digits and a valid check digit, ties to
+    the first; null if there is none."""
+    groups = F.split(m, "[ -]")
+    wide = lambda i, n: F.length(F.array_join(F.slice(groups, i + 1, n), " "))
+
+    def runs(i):
+        at = F.when(i > 0, wide(F.lit(0), i) + 1).otherwise(F.lit(0))
+        return F.transform(F.sequence(F.lit(1), F.size(groups) - i), lambda n: F.struct((-wide(i, n)).alias("short"), at.alias("at"), F.substring(m, at + 1, wide(i, n)).alias("run")))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.size(groups) - 1), runs))
+    sized = F.filter(every, lambda x: F.length(_only_digits(x["run"])).between(13, 19))
+    return F.array_min(F.filter(sized, lambda x: luhn_sum(_only_digits(x["run"]), 1) % 10 == 0))
+
+
 def _card(m: Column, key: str) -> Column:
-    digits = _only_digits(m)
-    body = permute_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    whole = F.aggregate(F.array(body), F.lit(""), lambda _, b: F.concat(b, F.pmod(-luhn_sum(b, 0), F.lit(10)).cast("string")))
-    return F.when(luhn_sum(digits, 1) % 10 == 0, _into(m, whole)).otherwise(m)
+    def put(_, x):
+        digits = _only_digits(x["run"])
+        body = permute_digits(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
+        whole = F.aggregate(F.array(body), F.lit(""), lambda _, b: F.concat(b, F.pmod(-luhn_sum(b, 0), F.lit(10)).cast("string")))
+        return F.concat(F.substring(m, F.lit(1), x["at"]), _into(x["run"], whole), F.substring(m, x["at"] + F.length(x["run"]) + 1, F.length(m)))
+
+    found = F.filter(F.array(_card_within(m)), lambda x: x.isNotNull())
+    return F.aggregate(found, m, put)
 
 
 def _phone(m: Column, key: str) -> Column:

@@ -67,3 +67,12 @@ def test_values_stay_linked_and_apart(spark):
     got = changed(spark, [f"{ip} x" for ip in ips] + [f"y {ip}" for ip in ips])
     new = [got[i].text.split()[0] for i in range(len(ips))]
     assert len(set(new)) == len(ips) and new == [got[i + len(ips)].text.split()[1] for i in range(len(ips))]
+
+
+def test_cards_beside_short_numbers(spark):
+    texts = ["4041 8949 7460 8795 123", "4041894974608795 12/27", "id 12 4041894974608795", "card 4041894974608795 7 times", "4041894974608795", "4041 8949 7460 8796 123"]
+    got = changed(spark, texts)
+    new = got[4].text
+    assert luhn(new) and new != texts[4]
+    parted = " ".join(new[k : k + 4] for k in range(0, 16, 4))
+    assert [got[i].text for i in range(6)] == [f"{parted} 123", f"{new} 12/27", f"id 12 {new}", f"card {new} 7 times", new, texts[5]]
