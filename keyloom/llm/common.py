@@ -14,11 +14,25 @@ from pyspark.sql import functions as F
 NULL_ID = (1 << 63) - 1
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir names, or a folder set on the context. In local mode only, where there is one machine, a
+    session without either gets one of its own."""
+    context = spark.sparkContext._jsc.sc()
+    set_by_hand = context.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (set_by_hand.get() if set_by_hand.isDefined() else None)
+    if named:
+        return named
+    if not context.isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "keyloom_checkpoints")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in spark.checkpoint.dir; a folder of our own only where the session names none."""
+    """Reliable checkpoint in the shared folder."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "keyloom_checkpoints"))
+    folder = shared_folder(spark)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -26,6 +40,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_sample(df: DataFrame, hash_col: str, size: int) -> DataFrame:
+    """About `size` rows chosen by their hash (a long), never more than twice as many: a threshold from the count of rows
+    comes before the limit, so a task sends its share and not `size` rows of its own."""
+    n = df.count()
+    top = -(1 << 63) + (((1 << 64) - 1) * min(n, size + size // 2) // n if n else 0)
+    return df.where(F.col(hash_col) <= F.lit(top)).orderBy(hash_col).limit(2 * size)
+
+
 def text_bytes(col: str | Column) -> Column:
     """UTF-8 bytes of a text; null counts as empty."""
     return F.coalesce(F.encode(F.col(col) if isinstance(col, str) else col, "UTF-8"), F.lit(b""))

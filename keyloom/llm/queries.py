@@ -27,7 +27,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rlz_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", F.expr(_REMOVED).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"), F.size("factors").cast("long").alias("n_factors"))
+    return out.select("doc_id", "n_words", F.expr(_REMOVED).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,5 +86,32 @@ def op7_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_replaced")
 
 
+#: Windows of 50 tokens by doubling; the steps are the same for bytes and words.
+_WINDOWS_SQL = """
+s2 AS (SELECT *, b || $ || lead(b, 1) OVER o AS x FROM tokens WINDOW o AS (PARTITION BY r ORDER BY p)),
+s4 AS (SELECT *, x || $ || lead(x, 2) OVER o AS y FROM s2 WINDOW o AS (PARTITION BY r ORDER BY p)),
+s8 AS (SELECT * EXCLUDE (y), y || $ || lead(y, 4) OVER o AS y FROM s4 WINDOW o AS (PARTITION BY r ORDER BY p)),
+s16 AS (SELECT * EXCLUDE (y), y || $ || lead(y, 8) OVER o AS y FROM s8 WINDOW o AS (PARTITION BY r ORDER BY p)),
+windows AS (SELECT r, id, p, b, y || $ || lead(y, 16) OVER o || $ || lead(y, 32) OVER o || $ || lead(x, 48) OVER o AS w FROM s16 WINDOW o AS (PARTITION BY r ORDER BY p)),
+firsts AS (SELECT w, min(id) AS least FROM windows WHERE w IS NOT NULL GROUP BY w),
+marked AS (SELECT b.r, b.p, b.b, coalesce(f.least < b.id, false) AS dup FROM windows b LEFT JOIN firsts f ON b.w = f.w),
+gone AS (SELECT r, p, b, coalesce(max(CASE WHEN dup THEN p END) OVER (PARTITION BY r ORDER BY p) > p - 50, false) AS g FROM marked)
+"""
+_OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS id, doc_id, regexp_extract_all(lower(hex(encode(coalesce(text, '')))), '..') AS t FROM documents),
+tokens AS (SELECT r, id, unnest(t) AS b, unnest(range(len(t))) AS p FROM d), {_WINDOWS_SQL.replace("$", "''")},
+edges AS (SELECT r, p, b, g, g AND NOT coalesce(lag(g) OVER (PARTITION BY r ORDER BY p), false) AS begins FROM gone),
+done AS (SELECT r, count(*) AS n_bytes, count(*) FILTER (g) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(b, '' ORDER BY p) FILTER (NOT g), '') AS kept FROM edges GROUP BY r)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN done ON d.r = done.r
+"""
+_OP2_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, 9223372036854775807) AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+tokens AS (SELECT r, id, unnest(t) AS b, unnest(range(len(t))) AS p FROM d), {_WINDOWS_SQL.replace("$", "' '")},
+done AS (SELECT r, count(*) AS n_words, count(*) FILTER (g) AS n_removed, coalesce(string_agg(b, ' ' ORDER BY p) FILTER (NOT g), '') AS kept FROM gone GROUP BY r)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN done ON d.r = done.r
+"""
+
 QUERIES = {f.__name__: f for f in (op1_suffix_array_dedup, op2_substring_dedup, op3_template_decontamination, op4_quality_rules, op5_simhash_near_dedup, op6_rans_tokens, op7_pii_feistel, op8_adaptive_scan, op9_url_cascade, op10_stock_packing)}
-ORACLE_SQL: dict[str, str] = {"op9_url_cascade": _OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_array_dedup": _OP1_SQL, "op2_substring_dedup": _OP2_SQL, "op9_url_cascade": _OP9_SQL}

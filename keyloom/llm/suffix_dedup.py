@@ -1,14 +1,15 @@
 """Suffix-array removal of repeated byte strings.
 
 A byte goes if some 50-byte string that covers it also starts in a document with a smaller id. Method: suffixes are
-ordered by range partitioning on sampled splitters; each bucket sorts its suffixes by multikey quicksort, eight bytes to
-a key, and compares neighbours. Splitters are whole strings of the window's length, so a run of equal suffixes never
-straddles two buckets: the comparison across a boundary is the one with the splitter itself.
+range-partitioned by their leading bytes on sampled splitters; each bucket sorts its own by multikey quicksort, eight bytes
+to a key, and neighbours in that order are compared: a run of equal strings gives its smallest document, and what others
+have of it goes.
 
-Only suffixes that can matter are exchanged. windows.py first settles, by seeds, the windows that no other document can
-share and the segments that an earlier document holds as a whole; the suffixes of the rest (where a repeat begins or
-ends, on the side of the seed on which the text goes on alike) go through the suffix array. Each block sends a string once, with its smallest document, so a passage of a third
-of all documents costs one suffix a block.
+What is exchanged are bundles (windows.py): the text of neighbouring suffixes that share a gram of 37 bytes, dealt and
+sorted by the suffix at the gram. Runs of one gram with bundles of different texts are opened, and their suffixes, cut at
+50 bytes, sorted and compared in turn. There are at most RANGES splitters; a range is dealt further by a hash of the
+leading bytes, so buckets grow with the corpus and the driver's sample doesn't. Strings of equal leading bytes are in one
+bucket, so a run never goes on in the next.
 
 Defined cases: null text counts as empty; rows without 50 bytes lose nothing; rows that share an id never outdate each
 other; a null id counts as the largest; other columns are ignored; an empty table gives an empty result.
@@ -21,258 +22,158 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, binary_column, covered, mix, pack, runs, text_bytes, total_bytes, unpack
-from .windows import REPEAT, bucket_edges, changes, distinct, each_window, gather, hash_rows, judge, multikey_order, seed_hashes, segment_hashes, segments, several, words_of
+from .common import binary_column, bounded_sample, covered, mix, pack, unpack
+from .windows import FOUND, HOT, Block, Entries, blocked, changes, distinct, each_window, in_order, judge_marks, multikey_quicksort, over_blocks, passing, row_hashes, send_entries, send_marks, shared_marks, signless, spans_of, struct_lists, words_of
 
-#: Bytes of text in a block; a bucket gets the seeds of two blocks.
+#: Bytes of text in a block; a bucket gets the grams of two blocks.
 BLOCK_BYTES = 8 << 20
-#: Bound on the sampled suffixes from which splitters are taken.
-SAMPLE = 4096
-GRAM = 24
-
+#: Ranges of leading bytes at most, and suffixes sampled for each.
+RANGES, SAMPLED = 4096, 16
+SEED = 24
+#: Suffixes that a bucket opens at a time, whole runs of a gram.
+OPENED = 1 << 18
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64)).astype(np.uint32)
-_EXCHANGE = "block long, key long, kind int, payload binary"
-#: Kinds of payload: which seeds others share, verdicts on segments, verdicts on suffixes.
-SHARED, VERDICT, SUFFIX = 0, 1, 2
-
-
-def suffix_runs(strings: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix order, the run of each place in it, and each run's smallest document."""
-    if not len(strings):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    words = list(words_of(strings).T)
-    order = multikey_order(*words)
-    new = changes(order, *words)
-    return order, np.cumsum(new) - 1, np.minimum.reduceat(doc[order], np.flatnonzero(new))
 
 
-class _Block:
-    """What every pass over a block works out again, always alike."""
-
+class _Bytes(Block):
     def __init__(self, docs: pa.Table, window: int, buckets: int):
-        docs = docs.sort_by([("doc_id", "ascending")])
-        self.ids = docs["doc_id"].to_numpy()
-        self.data, self.offsets = binary_column(docs["text"])
-        self.window, self.gram, self.buckets = window, min(GRAM, window), buckets
-        self.half = (window - self.gram) // 2
-        self.segs = segments(_TABLE[self.data], self.offsets, window, self.gram)
-        self.doc = self.ids[self.segs.row] if len(self.segs.row) else np.zeros(0, np.int64)
-        self.seed = seed_hashes(self.data, self.segs, self.gram)
-        # a bucket's number over 32 more bits: all that is sent of a seed at first
-        self.mark = ((self.seed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32) << np.uint64(32)) | (self.seed & np.uint64(0xFFFFFFFF))
-
-    def marks(self):
-        """The distinct marks, in order; the mark of each segment; whether two documents of the block share it."""
-        order = np.argsort(self.mark)
-        new = changes(order, self.mark)
-        of = np.empty(len(order), np.int64)
-        of[order] = np.cumsum(new) - 1
-        at = np.flatnonzero(new)
-        doc = self.doc[order]
-        several = np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at) if len(at) else np.zeros(0, bool)
-        return self.mark[order[new]], of, several
-
-    def shared_pairs(self, elsewhere: np.ndarray) -> np.ndarray:
-        """Segments whose seed is in another document; their distinct pairs are kept."""
-        _, of, here = self.marks()
-        which = np.flatnonzero((here | elsewhere)[of]) if len(of) else np.zeros(0, np.int64)
-        self.which = which
-        self.pairs = distinct(self.seed[which], segment_hashes(self.data, self.segs, which, self.window), self.doc[which], which)
-
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of each pair's seed with some bytes before it, and with some after it: a window has one or the other."""
-        at, n = self.segs.seed_at[self.pairs.at], self.gram + self.half
-        top = max(0, len(self.data) - n)
-        return tuple(hash_rows(gather(self.data, np.clip(x, 0, top), n)) if len(at) else np.zeros(0, np.uint64) for x in (at - self.half, at))
-
-    def open_suffixes(self, verdict: np.ndarray):
-        """Pair, place and bytes of every window that is still open."""
-        seg = self.pairs.at
-        first, last, mid = self.segs.first[seg], self.segs.last[seg], self.segs.seed_at[seg] - self.half
-        # up to mid a window has the seed's left context, beyond it the right one
-        lo, hi = np.where(verdict & EDGE_LEFT, first, np.maximum(first, mid + 1)), np.where(verdict & EDGE_RIGHT, last, np.minimum(last, mid))
-        n = np.where(verdict & (EDGE_LEFT | EDGE_RIGHT), np.maximum(0, hi - lo + 1), 0)
-        at = each_window(lo, n)
-        return np.repeat(np.arange(len(seg)), n), at, gather(self.data, at, self.window)
+        self.buckets = buckets
+        super().__init__(docs, window, SEED)
 
+    def read(self, text: pa.ChunkedArray) -> None:
+        data, offsets = binary_column(text)
+        self.bundles(data, _TABLE[data], offsets, self.buckets)
 
-#: Verdicts: a whole repeat, or windows open on one side of the seed or the other.
-EDGE_LEFT, EDGE_RIGHT = 2, 4
 
+def leading(text: np.ndarray, lead: np.ndarray, length: int) -> np.ndarray:
+    """Of each bundle's suffix at its gram."""
+    return np.lib.stride_tricks.sliding_window_view(text, length, axis=1)[np.arange(len(text)), lead]
 
-def _rows(out) -> pa.Table:
-    cols = list(zip(*out, strict=True)) or [[], [], [], []]
-    return pa.table({"block": pa.array(cols[0], pa.int64()), "key": pa.array(cols[1], pa.int64()), "kind": pa.array(cols[2], pa.int32()), "payload": pa.array(cols[3], pa.binary())})
 
+def route(splitters: list[bytes], parts: int):
+    """Bucket of an entry: the range of its leading bytes, and a share of that range. Single suffixes go by their whole
+    string."""
 
-def _in_order(said: pa.Table, kind: int) -> list[bytes]:
-    return [r["payload"] for r in sorted(said.to_pylist(), key=lambda r: r["key"]) if r["kind"] == kind]
-
-
-def _array(said: pa.Table, kind: int) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.uint8), *(unpack(x, np.uint8)[0] for x in _in_order(said, kind))])
-
-
-def _answers(rows: list[dict], kind: int, said: np.ndarray, sizes: list[int]) -> pa.Table:
-    """To each block, what was found on the entries that it sent."""
-    cut = np.cumsum([0, *sizes])
-    return _rows([(r["block"], r["key"], kind, pack(said[a:z].astype(np.uint8))) for r, a, z in zip(rows, cut, cut[1:], strict=False)])
-
-
-def _send_seeds(window: int, buckets: int):
-    def run(key, docs):
-        b = _Block(docs, window, buckets)
-        mark, _, _ = b.marks()
-        edges = np.searchsorted(mark, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
-        return _rows([(key[0].as_py(), k, SHARED, pack(np.diff(mark[lo:hi].astype(np.uint32), prepend=np.uint32(0)))) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if hi > lo])
+    def run(b: Block, e: Entries) -> np.ndarray:
+        first = leading(e.text, e.lead, b.gram)
+        edges = np.array(splitters, f"S{b.gram}")
+        place = np.searchsorted(edges, np.ascontiguousarray(first).view(f"S{b.gram}")[:, 0], "right") if len(first) and len(edges) else np.zeros(len(first), np.int64)
+        alone = b.alone[e.head]
+        h = np.where(alone, row_hashes(e.text.reshape(-1), np.arange(len(alone)) * b.width, b.window), row_hashes(e.text.reshape(-1), np.arange(len(alone)) * b.width + e.lead, b.gram)) if len(alone) else np.zeros(0, np.uint64)
+        return place * parts + (mix(h) % np.uint64(parts)).astype(np.int64)
 
     return run
 
 
-def _judge_seeds(key, sent):
-    rows = sent.to_pylist()
-    got = [np.cumsum(unpack(r["payload"], np.uint32)[0], dtype=np.uint32) for r in rows]
-    marks = np.concatenate(got)
-    order = np.argsort(marks)
-    new = changes(order, marks)
-    n = np.diff(np.concatenate((np.flatnonzero(new), [len(order)])))
-    again = np.empty(len(marks), bool)
-    again[order] = (n > 1)[np.cumsum(new) - 1]
-    return _answers(rows, SHARED, again, [len(g) for g in got])
-
-
-def _send_segments(window: int, buckets: int):
-    def run(key, docs, said):
-        if not docs.num_rows:
-            return _rows([])
-        b, block, shared = _Block(docs, window, buckets), key[0].as_py(), _array(said, SHARED)
-        b.shared_pairs(shared > 0)
-        p, (left, right), edges = b.pairs, b.contexts(), bucket_edges(b.pairs.seed, buckets)
-        out = [(block, -1 - block, SHARED, pack(shared))]
-        for k, c in enumerate(map(slice, edges, edges[1:])):
-            if c.stop > c.start:
-                out.append((block, k, VERDICT, pack(p.seed[c], p.body[c], left[c].astype(np.uint32), right[c].astype(np.uint32), p.doc[c])))
-        return _rows(out)
-
-    return run
-
-
-def _judge_segments(key, sent):
-    if key[0].as_py() < 0:
-        return sent.select(["block", "key", "kind", "payload"])
-    rows = sent.to_pylist()
-    got = [unpack(r["payload"], np.uint64, np.uint64, np.uint32, np.uint32, np.int64) for r in rows]
-    seed, body, left, right, doc = (np.concatenate([g[i] for g in got]) for i in range(5))
-    verdict, _ = judge(seed, body, doc)
-    open_ = EDGE_LEFT * several(seed, left, what=body) + EDGE_RIGHT * several(seed, right, what=body)
-    return _answers(rows, VERDICT, np.where(verdict == REPEAT, REPEAT, open_), [len(g[0]) for g in got])
-
-
-def _send_suffixes(window: int, buckets: int, splitters: list[bytes]):
-    def run(key, docs, said):
-        if not docs.num_rows:
-            return _rows([])
-        b, block = _Block(docs, window, buckets), key[0].as_py()
-        shared, verdict = _array(said, SHARED), _array(said, VERDICT)
-        b.shared_pairs(shared > 0)
-        out = [(block, -1 - block, SHARED, pack(shared)), (block, -1 - block, VERDICT, pack(verdict))]
-        pair, _, strings = b.open_suffixes(verdict)
-        order, run_of, least = suffix_runs(strings, b.pairs.doc[pair])
-        if len(order):
-            strings = strings[order[np.concatenate(([True], run_of[1:] != run_of[:-1]))]]
-            cuts = [0, *(_place(strings, x) for x in splitters), len(strings)]
-            for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                if hi > lo:
-                    out.append((block, k, SUFFIX, pack(strings[lo:hi].reshape(-1), least[lo:hi])))
-        return _rows(out)
-
-    return run
-
-
-def _place(strings: np.ndarray, splitter: bytes) -> int:
-    """First ordered string that isn't below the splitter."""
-    lo, hi = 0, len(strings)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        lo, hi = (mid + 1, hi) if strings[mid].tobytes() < splitter else (lo, mid)
-    return lo
-
-
-def _judge_suffixes(window: int):
-    def run(key, sent):
-        if key[0].as_py() < 0:
-            return sent.select(["block", "key", "kind", "payload"])
-        rows = sent.to_pylist()
-        got = [unpack(r["payload"], np.uint8, np.int64) for r in rows]
-        doc = np.concatenate([g[1] for g in got])
-        order, run_of, least = suffix_runs(np.concatenate([g[0] for g in got]).reshape(-1, window), doc)
-        earlier = np.empty(len(doc), bool)
-        earlier[order] = least[run_of] < doc[order]
-        return _answers(rows, SUFFIX, earlier, [len(g[1]) for g in got])
+def _payload(b: Block, e: Entries, which: np.ndarray) -> bytes:
+    return pack(e.text[which].reshape(-1), e.size[which].astype(np.uint8), e.lead[which].astype(np.uint8), e.doc[which])
+
+
+def smallest(text: np.ndarray, size: np.ndarray, doc: np.ndarray, run: np.ndarray, window: int) -> np.ndarray:
+    """The smallest document that has each suffix of some distinct bundles, which come in runs of one gram."""
+    row, within = np.repeat(np.arange(len(size)), size), each_window(np.zeros(len(size), np.int64), size)
+    least = doc[row]
+    begin = np.cumsum(size) - size
+    n = np.bincount(run)
+    at = np.cumsum(n) - n
+    weight = np.concatenate(([0], np.cumsum(np.add.reduceat(size, at) * (n > 1)))) if len(n) else np.zeros(1, np.int64)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(weight, weight[lo] + OPENED, "right")) - 1)
+        open_ = np.flatnonzero(np.repeat(n[lo:hi] > 1, n[lo:hi])) + at[lo]
+        if len(open_):
+            s = each_window(begin[open_], size[open_])
+            strings = words_of(np.lib.stride_tricks.sliding_window_view(text, window, axis=1)[row[s], within[s]])
+            order = multikey_quicksort(strings)
+            new = changes(order, strings)
+            least[s[order]] = np.minimum.reduceat(least[s[order]], np.flatnonzero(new))[np.cumsum(new) - 1]
+        lo = hi
+    return least
+
+
+def _judge(window: int, gram: int, width: int):
+    def run(rows: list[dict]):
+        got = [unpack(r["payload"], np.uint8, np.uint8, np.uint8, np.int64) for r in rows]
+        text, size, lead, doc = (np.concatenate([g[i] for g in got]) for i in range(4))
+        text, size, lead = text.reshape(-1, width), size.astype(np.int64), lead.astype(np.int64)
+        first = words_of(leading(text, lead, gram))
+        key = np.column_stack([first, words_of(text), (size * (window + 1) + lead).astype(np.uint64)])
+        order = multikey_quicksort(np.column_stack([key, signless(doc)]))
+        new = changes(order, key)
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        head = order[new]
+        run = np.cumsum(changes(head, first)) - 1
+        least = smallest(text[head], size[head], doc[head], run, window)
+        begin = (np.cumsum(size[head]) - size[head])[of]
+        earlier = least[each_window(begin, size)] < np.repeat(doc, size)
+        cut = np.concatenate(([0], np.cumsum(size)))[np.cumsum([0, *(len(g[3]) for g in got)])]
+        return [(r["block"], r["key"], FOUND, pack(np.packbits(earlier[a:z]))) for r, a, z in zip(rows, cut, cut[1:], strict=False)]
 
     return run
 
 
-def _remove(window: int, buckets: int):
+def _remove(block_of, to_bucket):
     def run(key, docs, said):
-        b = _Block(docs, window, buckets)
-        verdict = _array(said, VERDICT)
-        b.shared_pairs(_array(said, SHARED) > 0)
-        s, p, which = b.segs, b.pairs, b.which
-        gone = (verdict[p.of] == REPEAT) | (b.doc[which] > p.doc[p.of])
-        starts, ends = [s.first[which[gone]]], [s.last[which[gone]] + window]
-        pair, at, strings = b.open_suffixes(verdict)
-        if len(pair):
-            order, run_of, least = suffix_runs(strings, p.doc[pair])
-            dup = np.empty(len(pair), bool)
-            dup[order] = (_array(said, SUFFIX)[run_of] > 0) | (p.doc[pair][order] > least[run_of])
-            # a pair's windows, for every segment of its document that has it
-            begin, count = np.searchsorted(pair, np.arange(len(p.seed))), np.bincount(pair, minlength=len(p.seed))
-            mine = np.flatnonzero(~gone)
-            n = count[p.of[mine]]
-            source = each_window(begin[p.of[mine]], n)
-            place = at[source] + np.repeat(s.first[which[mine]] - s.first[p.at[p.of[mine]]], n)
-            starts.append(place[dup[source]])
-            ends.append(place[dup[source]] + window)
-        mask = covered(len(b.data), np.concatenate(starts), np.concatenate(ends))
-        return _result(b, mask)
+        b = block_of(docs)
+        b.shared(shared_marks(said))
+        e = distinct(b)
+        to = to_bucket(b, e)
+        order = np.argsort(to, kind="stable")
+        count = e.size[order]
+        bits, found = [np.zeros(0, bool)], in_order(said, FOUND)
+        cuts = [*np.flatnonzero(changes(order, to)), len(order)]
+        for payload, lo, hi in zip(found, cuts, cuts[1:], strict=False):
+            n = int(count[lo:hi].sum())
+            bits.append(np.unpackbits(unpack(payload, np.uint8)[0], count=n).astype(bool))
+        bits = np.concatenate(bits)
+        begin = np.empty(len(order), np.int64)
+        begin[order] = np.cumsum(count) - count
+        # a bundle's suffixes go if a bucket says so, or all of them if its text is in an earlier document of this block
+        source = each_window(begin[e.of], b.size)
+        gone = bits[source] | np.repeat(b.doc > e.doc[e.of], b.size) if len(source) else np.zeros(0, bool)
+        start = each_window(b.first, b.size)[gone]
+        return _result(b, covered(len(b.tokens), start, start + b.window))
 
     return run
 
 
-def _result(b: _Block, mask: np.ndarray) -> pa.Table:
-    lo, hi = runs(mask)
-    inner = np.unique(b.offsets[(b.offsets > 0) & (b.offsets < len(mask))])  # a run ends with its document
-    inner = inner[mask[inner] & mask[inner - 1]]
-    lo, hi = np.sort(np.concatenate((lo, inner))), np.sort(np.concatenate((hi, inner)))
-    row = np.searchsorted(b.offsets, lo, "right") - 1
-    counts = np.bincount(row, minlength=len(b.ids)) if len(b.ids) else np.zeros(0, np.int64)
-    base = b.offsets[row] if len(row) else np.zeros(0, np.int64)
-    spans = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.StructArray.from_arrays([pa.array(lo - base, pa.int64()), pa.array(hi - base, pa.int64())], ["start", "end"]))
+def _result(b: Block, mask: np.ndarray) -> pa.Table:
+    row, lo, hi = spans_of(mask, b.offsets)
     kept = np.concatenate(([0], np.cumsum(~mask)))[b.offsets]
-    raw = b.data[~mask]
+    raw = b.tokens[~mask]
     texts = pa.array([raw[kept[i] : kept[i + 1]].tobytes() for i in range(len(b.ids))], pa.binary())
-    return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "n_bytes": pa.array(np.diff(b.offsets), pa.int64()), "spans": spans, "kept": texts})
+    return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "n_bytes": pa.array(np.diff(b.offsets), pa.int64()), "spans": struct_lists(row, len(b.ids), {"start": lo, "end": hi}), "kept": texts})
+
+
+def splitters_of(base: DataFrame, gram: int, ranges: int) -> list[bytes]:
+    """Leading bytes of suffixes at random places of a bounded sample, one document a suffix: the ends of the ranges."""
+    if ranges < 2:
+        return []
+    long = base.where(F.octet_length("text") >= gram).select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "text")
+    at = F.pmod(F.xxhash64("h", F.lit(1)), F.octet_length("text") - gram + 1).cast("int") + 1
+    found = sorted(bytes(r["s"]) for r in bounded_sample(long.select("h", F.substring("text", at, F.lit(gram)).alias("s")), "h", ranges * SAMPLED).select("s").collect())
+    return sorted({found[len(found) * k // ranges] for k in range(1, ranges)}) if found else []
 
 
-def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def suffix_array_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, block_bytes: int = BLOCK_BYTES, hot: int = HOT, ranges: int = RANGES) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges, in order) and kept (the other bytes) of every document."""
-    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), text_bytes(text_col).alias("text"))
-    blocks = max(1, -(-total_bytes(base, "text") // block_bytes))
+    d, blocks = blocked(docs, id_col, text_col, block_bytes)
     buckets = max(1, -(-blocks // 2))
-    put = F.xxhash64("doc_id")
-    at = F.greatest(F.octet_length("text") - window, F.lit(0))
-    sample = base.where(F.octet_length("text") >= window).select(put.alias("h"), F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), at + 1).cast("int") + 1, F.lit(window)).alias("s")).orderBy("h", "s").limit(SAMPLE)
-    found = sorted({bytes(r["s"]) for r in sample.collect()})
-    splitters = sorted({found[len(found) * k // buckets] for k in range(1, buckets)}) if found else []
-    d = base.withColumn("block", F.pmod(put, F.lit(blocks)))
-    stay = (window, buckets)
-
-    def ask(said, send):
-        return d.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(send, _EXCHANGE).groupBy("key")
-
-    shared = d.groupBy("block").applyInArrow(_send_seeds(*stay), _EXCHANGE).groupBy("key").applyInArrow(_judge_seeds, _EXCHANGE)
-    judged = ask(shared, _send_segments(*stay)).applyInArrow(_judge_segments, _EXCHANGE)
-    settled = ask(judged, _send_suffixes(*stay, splitters)).applyInArrow(_judge_suffixes(window), _EXCHANGE)
-    out = d.groupBy("block").cogroup(settled.groupBy("block")).applyInArrow(_remove(*stay), "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
+    seed = min(SEED, window)
+    gram = seed + (window - seed) // 2
+    splitters = splitters_of(d, gram, min(ranges, buckets))
+    to_bucket = route(splitters, -(-buckets // (len(splitters) + 1)))
+
+    def block_of(rows: pa.Table) -> Block:
+        return _Bytes(rows, window, buckets)
+
+    return over_blocks(
+        d,
+        send_marks(block_of, buckets),
+        judge_marks(hot),
+        send_entries(block_of, to_bucket, _payload),
+        passing(_judge(window, gram, 2 * window - gram)),
+        _remove(block_of, to_bucket),
+        "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary",
+    )
