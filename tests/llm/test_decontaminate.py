@@ -1,7 +1,7 @@
 import random
 import re
 
-from keyloom.llm.decontaminate import decontaminate
+from keyloom.llm.decontaminate import decontaminate, without_contaminated
 
 
 def verdicts(spark, docs, items, **how):
@@ -59,3 +59,80 @@ def test_empty(spark):
     assert verdicts(spark, docs, []) == {1: [(False, None)]}
     assert verdicts(spark, [], [(1, "one two three four five six")]) == {}
     assert verdicts(spark, docs, [(1, None), (2, "one two"), (None, "one two three four five six")]) == {1: [(True, None)]}
+
+
+FIRST, LAST = "Anna Bob Clara David Elena Farid Greta Hugo".split(), "Smith Jones Okafor Lind Weber".split()
+FILLER = "apples pears boxes then gives takes away some of them and walks home with the rest while another friend counts every item on the long table before dinner starts".split()
+
+
+def question(r):
+    """Words and slots: ("n", k) a number, ("p", k) a person; every slot stands in at least two places."""
+    words, slots = [], [("p", 0), ("p", 1), ("n", 0), ("n", 1)]
+    for s in slots * 2 + r.choices(slots, k=2):
+        words += [s, *r.sample(FILLER, r.randint(3, 6))]
+    words[9:9] = ["stop"]
+    return words
+
+
+def fill(r, words, value):
+    """The text, a new sentence after each "stop", so that some names begin one."""
+    out, begin = [], True
+    for w in words:
+        if w == "stop":
+            out[-1] += "."
+            begin = True
+            continue
+        t = value(w) if isinstance(w, tuple) else w
+        out.append(t[0].upper() + t[1:] if begin else t)
+        begin = False
+    return " ".join(out)
+
+
+def number(r):
+    return r.choice([str(r.randint(2, 99)), f"{r.randint(1, 99)}.{r.randint(1, 9)}", f"{r.randint(1, 9)},{r.randint(100, 999)}", r.choice(["forty", "twelve", "sixty two"])])
+
+
+def person(r):
+    return r.choice(FIRST) if r.random() < 0.5 else f"{r.choice(FIRST)} {r.choice(LAST)}"
+
+
+def values(r):
+    """Different values for all slots."""
+    while True:
+        v = {("n", 0): number(r), ("n", 1): number(r), ("p", 0): person(r), ("p", 1): person(r)}
+        if len(set(v.values())) == 4:
+            return v
+
+
+def test_refilled_templates(spark):
+    r = random.Random(6)
+    questions = [question(r) for _ in range(25)]
+    items = [(i, fill(r, q, values(r).__getitem__)) for i, q in enumerate(questions)]
+    docs, found, clean = [], [], []
+    noise = lambda: " ".join(r.choice(["alpha", "beta", "gamma", "delta", "epsilon"]) for _ in range(r.randint(0, 40)))
+    for i, q in enumerate(questions):
+        for _ in range(4):
+            docs.append((len(docs), f"{noise()} {fill(r, q, values(r).__getitem__)} {noise()}"))
+            found.append((docs[-1][0], i))
+        # verbatim and a variant in one text; two variants in one text; verbatim in other case
+        twice = f"{items[i][1]} {noise()} {fill(r, q, values(r).__getitem__)}", f"{fill(r, q, values(r).__getitem__)} {noise()} {fill(r, q, values(r).__getitem__)}"
+        for t in (*twice, items[i][1].lower(), items[i][1].upper()):
+            docs.append((len(docs), t))
+            found.append((docs[-1][0], i))
+        for _ in range(3):
+            docs.append((len(docs), f"{noise()} {fill(r, q, lambda w: number(r) if w[0] == 'n' else person(r))}"))
+            clean.append(docs[-1][0])
+    got = verdicts(spark, docs, items)
+    hit = sum(got[d] == [(True, i)] for d, i in found)
+    assert hit >= 0.95 * len(found), hit / len(found)
+    assert sum(got[d][0][0] for d in clean) <= 0.05 * len(clean)
+
+
+def test_rows_ties_and_columns(spark):
+    item = "several plain words follow each other here and nothing else is told of it"
+    docs = spark.createDataFrame([(1, item, 5, 0), (1, "clean text without anything", 6, 1), (None, item, 7, 2), (None, "clean too", 8, 3), (2, "filler " * 30_000 + item, 9, 4)], "my_id long, body string, h long, tid long")
+    items = spark.createDataFrame([(4, item), (3, item)], "item_id long, text string")
+    got = sorted(map(tuple, decontaminate(docs, items.withColumnRenamed("text", "body"), doc_id="my_id", text_col="body").collect()), key=str)
+    assert got == sorted([(1, True, 2, 3), (1, False, 0, None), (None, True, 2, 3), (None, False, 0, None), (2, True, 2, 3)], key=str)
+    left = without_contaminated(docs, items.withColumnRenamed("text", "body"), doc_id="my_id", text_col="body")
+    assert left.columns == docs.columns and sorted(r.h for r in left.collect()) == [6, 8]
