@@ -28,6 +28,8 @@ from .common import cut_lineage
 WINDOW, CONTAINMENT, LITERALS, SHIFT = 5, 0.8, 2, 3
 #: Bytes of benchmark windows that are broadcast at most.
 BROADCAST_BYTES = 64 << 20
+#: Texts whose keys (16 bytes each) are broadcast at most, to read them again.
+BROADCAST_TEXTS = 1_000_000
 #: Units that may follow a number, and spelled numbers.
 UNITS = "mm cm m km kg g mg lb lbs oz ft in mi mph kmh km/h s sec min h hr hrs hours minutes seconds days weeks months years l ml percent dollars euros pounds usd eur gbp kwh mb gb tb hz khz mhz ghz".split()
 NUMBERS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split()
@@ -52,11 +54,13 @@ def _readings(text: Column) -> tuple[Column, Column]:
     marks = f"[{_SPELLED}-{_JOIN}]"
     plain = F.when(t.rlike(marks), F.regexp_replace(t, marks, " ")).otherwise(t)
     whole = F.regexp_replace(plain, r"[.,](?<=\d[.,])(?=\d)", _JOIN)
-    spelled = F.regexp_replace(whole, rf"(?=[{_NUMBER_LETTERS}])(?<![\p{{L}}\p{{N}}])({_any_of(NUMBERS)}){_BORDER}", f"{_SPELLED}$1")
+    # runs of up to three words are one value
+    spoken = rf"({_any_of(NUMBERS)}){_BORDER}"
+    spelled = F.regexp_replace(whole, rf"(?=[{_NUMBER_LETTERS}])(?<![\p{{L}}\p{{N}}]){spoken}(?:[\s-]{spoken})?(?:[\s-]{spoken})?", f"{_SPELLED}$1{_JOIN}$2{_JOIN}$3")
     units = "|".join(sorted(UNITS, key=len, reverse=True))
-    measured = F.regexp_replace(spelled, rf"(\d\s?|{_SPELLED}\p{{L}}+\s)((?:{units}){_BORDER})", f"$1 {_UNIT}$2")
-    named = F.regexp_replace(measured, rf"(\p{{Lu}})(?<![\p{{L}}\p{{N}}{_SPELLED}-{_UNIT}]\p{{Lu}})(?=\p{{Ll}})", f"{_NAME}$1")
-    joined = F.regexp_replace(named, rf"\s{_NAME}(?<={_NAME}\p{{L}}{{1,40}}\s{_NAME})|[\s-]{_SPELLED}(?<={_SPELLED}\p{{L}}{{1,10}}[\s-]{_SPELLED})", _JOIN)
+    measured = F.regexp_replace(spelled, rf"(\d\s?|{_SPELLED}[\p{{L}}{_JOIN}]+\s)((?:{units}){_BORDER})", f"$1 {_UNIT}$2")
+    name = r"\p{Lu}\p{Ll}\p{L}*+"
+    joined = F.regexp_replace(measured, rf"(\p{{Lu}}(?<![\p{{L}}\p{{N}}{_SPELLED}-{_UNIT}]\p{{Lu}})\p{{Ll}}\p{{L}}*+)(?:\s({name}))?(?:\s({name}))?", f"{_NAME}$1{_JOIN}$2{_JOIN}$3")
     words = lambda x: F.array_remove(F.split(F.lower(x), rf"[^\p{{L}}\p{{N}}{_SPELLED}-{_UNIT}{_JOIN}]+"), "")
     return words(whole), words(joined)
 
@@ -99,7 +103,7 @@ def _hashed(texts: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, least: float = CONTAINMENT, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
     """doc_id, tid (xxhash64 of the text), item_id, matched (consistent windows of the item), windows (all of them), for every
     text and item that reach the containment; the better reading and occurrence of each."""
-    of_items = _hashed(benchmark, item_id, text_col, size)
+    of_items = cut_lineage(_hashed(benchmark, item_id, text_col, size))
     literal = of_items.select(F.col("id").alias("item_id"), F.lit(0).alias("way"), F.posexplode("literal").alias("item_pos", "h"), F.lit(None).cast("string").alias("item_slots"))
     spread = of_items.select(F.col("id").alias("item_id"), F.lit(1).alias("way"), "raw", F.posexplode("template").alias("item_pos", "h"))
     told = F.size(F.filter(F.slice("raw", F.col("item_pos") + 1, size), lambda x: ~_typed(x))) >= min(LITERALS, size)
@@ -112,22 +116,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, lea
     place = F.col("at") - F.when(F.col("way") == 1, F.col("n")).otherwise(0)
     hit = cut_lineage(every.join(side, "h").select(F.col("id").alias("doc_id"), "tid", "way", place.alias("pos"), "item_id", "item_pos", "item_slots").distinct())
     text_key, keys = ["doc_id", "tid"], ["doc_id", "tid", "item_id", "way"]
+    same = lambda cols, a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
+    # what has too few windows of an item even if all were consistent goes no further
+    seen = hit.groupBy(*keys).agg(F.countDistinct("item_pos").alias("n")).join(totals, F.col("item_id").eqNullSafe(F.col("_of")) & (F.col("way") == F.col("_way")))
+    likely = seen.where(F.col("n") >= F.col("windows") * F.lit(least)).select(*keys)
+    hit = cut_lineage(hit.alias("a").join(likely.alias("b"), same(keys, "a", "b"), "left_semi"))
     # occurrences: the windows' distances between text and item, cut where they jump; -1 is the whole text
     shift = F.col("pos") - F.col("item_pos")
     along = Window.partitionBy(*keys).orderBy("shift")
     jump = F.when(F.col("shift") - F.lag("shift").over(along) > SHIFT, 1).otherwise(0)
     shifts = hit.select(*keys, shift.alias("shift")).distinct().withColumn("jump", jump)
     shifts = shifts.withColumn("occurrence", F.sum("jump").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    same = lambda cols, a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
     placed = hit.withColumn("shift", shift).alias("a").join(shifts.alias("b"), [*same(keys, "a", "b"), F.col("a.shift") == F.col("b.shift")]).select("a.*", "b.occurrence")
     placed = cut_lineage(placed.withColumn("occurrence", F.explode(F.array("occurrence", F.lit(-1)))).drop("shift"))
     # few rows: windows with placeholders only. Their texts are read again for the values.
     typed = placed.where("item_slots IS NOT NULL")
-    wanted = typed.select(*text_key).distinct()
+    wanted = cut_lineage(typed.select(*text_key).distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
     again = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("tid"), F.col(text_col).alias("text")).alias("a")
     again = again.join(wanted.alias("b"), same(text_key, "a", "b")).select("a.*").dropDuplicates(text_key).select(*text_key, _readings(F.col("text"))[1].alias("raw"))
-    valued = typed.alias("a").join(again.alias("b"), same(text_key, "a", "b")).select("a.*", "b.raw")
-    pairs = F.arrays_zip(F.split("item_slots", _SEP).alias("a"), F.split(_slots(F.col("raw"), F.col("pos"), size), _SEP).alias("b"))
+    asked = typed.groupBy(*text_key).agg(F.collect_set("pos").alias("at"))
+    told = F.explode(F.transform("at", lambda p: F.struct(p.alias("pos"), _slots(F.col("raw"), p, size).alias("text_slots"))))
+    values = again.alias("a").join(asked.alias("b"), same(text_key, "a", "b")).select("a.doc_id", "a.tid", told.alias("x")).select(*text_key, "x.pos", "x.text_slots")
+    valued = typed.alias("a").join(values.alias("b"), [*same(text_key, "a", "b"), F.col("a.pos") == F.col("b.pos")]).select("a.*", "b.text_slots")
+    pairs = F.arrays_zip(F.split("item_slots", _SEP).alias("a"), F.split("text_slots", _SEP).alias("b"))
     keys.append("occurrence")
     valued = cut_lineage(valued.select(*keys, "item_pos", pairs.alias("pairs")))
     votes = valued.select(*keys, F.explode("pairs").alias("p")).groupBy(*keys, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
