@@ -36,6 +36,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table hasn't."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def columns_of(df: DataFrame, alias: str | None = None) -> list[Column]:
+    """All columns, whatever characters their names have."""
+    return [F.col((f"{alias}." if alias else "") + "`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

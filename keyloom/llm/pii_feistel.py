@@ -11,7 +11,7 @@ pseudonym in every document and two values never share one:
   dates yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy from 1900-01-01, 73000 days on -> a date of that span in the same notation
 
 What has no number format gets a keyed hash in its own alphabet: the name part of e-mail addresses, and the value of
-password=, token = "" and AKIA keys. What looks like a number but isn't valid stays.
+passwords, API keys and tokens written as name = value or name: value (with a digit, unless in the forms password= and token = ""), and AKIA keys. What looks like a number but isn't valid stays.
 
 All is built-in functions: a text is split at the matches, the matches are transformed, and both are put together again.
 Round functions are SHA-256 of key, kind, round and half.
@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 ROUNDS = 8
 #: Span of dates, as two factors, so that the network permutes it without leaving it.
 SPAN = (250, 292)
@@ -32,8 +34,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: What is looked for; the first that fits wins.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+",
-    "secret": r"(?:password=|token = \")[0-9A-Za-z]{8,128}+|(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![A-Z0-9])",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+    "secret": r"(?:password=|token = \")[0-9A-Za-z]{8,128}+|(?i:password|passwd|api[_-]?key|secret|token)\s?[=:]\s?[\"']?(?=[A-Za-z]*\d)[0-9A-Za-z]{8,128}+|(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![A-Z0-9])",
+    "phone": r"(?:\+\d{1,3}[ .-]?\(?\d{3}\)?[ .-]?|\(\d{3}\) ?|(?<![\d.-])\d{3}[.-])\d{3}[ .-]?\d{4}(?![\d-])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "date": r"(?<![\d./-])(?:(?:19|20)\d\d-\d\d-\d\d|\d\d\.\d\d\.(?:19|20)\d\d|\d\d/\d\d/(?:19|20)\d\d)(?![\d/-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -155,7 +157,7 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    name = F.regexp_extract(m, r"^(password=|token = \"|AKIA)", 1)
+    name = F.regexp_extract(m, r"^((?i:password|passwd|api[_-]?key|secret|token)\s?[=:]\s?[\"']?|AKIA)", 1)
     value = F.substring(m, F.length(name) + 1, F.length(m))
     new = F.substring(_hashed(value, key, "secret"), F.lit(1), F.length(value))
     return F.concat(name, F.when(name == "AKIA", F.upper(new)).otherwise(new))
@@ -171,10 +173,12 @@ def pseudonym(m: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_replaced") -> DataFrame:
     """The same rows with pseudonyms in their texts, and the number of values replaced."""
-    found = docs.withColumn("_found", F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0)))
-    new = found.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key))))
+    # parted from the caller's columns, whose names are kept
+    found_col, new_col = fresh(docs, "_found"), fresh(docs, "_new")
+    found = docs.withColumn(found_col, F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0)))
+    new = found.withColumn(new_col, F.when(F.size(found_col) > 0, F.transform(found_col, lambda m: pseudonym(m, key))))
     between = F.split(F.col(text_col), ANY, -1)
-    joined = F.array_join(F.zip_with(between, F.concat("_new", F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    replaced = F.coalesce(F.size(F.filter(F.arrays_zip(F.col("_found").alias("a"), F.col("_new").alias("b")), lambda z: z["a"] != z["b"])), F.lit(0))
-    counted = new.withColumn(count_col, F.when(F.size("_found") > 0, replaced).otherwise(F.lit(0)).cast("long"))
-    return counted.withColumn(text_col, F.when(F.col(count_col) > 0, joined).otherwise(F.col(text_col))).drop("_found", "_new")
+    joined = F.array_join(F.zip_with(between, F.concat(new_col, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
+    replaced = F.coalesce(F.size(F.filter(F.arrays_zip(F.col(found_col).alias("a"), F.col(new_col).alias("b")), lambda z: z["a"] != z["b"])), F.lit(0))
+    counted = new.withColumn(count_col, F.when(F.size(found_col) > 0, replaced).otherwise(F.lit(0)).cast("long"))
+    return counted.withColumn(text_col, F.when(F.col(count_col) > 0, joined).otherwise(F.col(text_col))).drop(found_col, new_col)

@@ -20,7 +20,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled documents that the model is fitted on, at most.
+from .common import bounded_sample, cut_lineage, fresh
+
+#: Labelled documents that the model is fitted on, or so; twice as many at most.
 SAMPLE = 20_000
 TREES, DEPTH, BINS, THRESHOLD = 40, 3, 32, 0.7
 #: L1 penalties tried, by the loss on a fifth of the sample.
@@ -46,19 +48,20 @@ def _rates() -> dict[str, str]:
     }
 
 
-def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The same rows with a struct _q of statistics; all other columns stay as they are."""
+def with_statistics(docs: DataFrame, stats: str, text_col: str = "text") -> DataFrame:
+    """The same rows with a struct of statistics under the name given; all other columns stay as they are."""
+    parts = fresh(docs, "_s")
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     words = F.filter(F.split(t, "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
-    # _s is read more than once below, so it is worked out once and not copied into each statistic
-    held = docs.withColumn("_s", F.struct(t.alias("t"), words.alias("w"), F.split(t, "\n").alias("l")))
-    rates = [F.expr(_scoped(e)).cast("double").alias(k) for k, e in _rates().items()]
-    return held.withColumn("_q", F.struct(*rates)).drop("_s")
+    # they are read more than once below, so it is worked out once and not copied into each statistic
+    held = docs.withColumn(parts, F.struct(t.alias("t"), words.alias("w"), F.split(t, "\n").alias("l")))
+    rates = [F.expr(_scoped(e, parts)).cast("double").alias(k) for k, e in _rates().items()]
+    return held.withColumn(stats, F.struct(*rates)).drop(parts)
 
 
-def _scoped(expression: str) -> str:
+def _scoped(expression: str, parts: str) -> str:
     for name in ("t", "w", "l"):
-        expression = expression.replace(f"({name})", f"(_s.{name})").replace(f"({name},", f"(_s.{name},")
+        expression = expression.replace(f"({name})", f"({parts}.{name})").replace(f"({name},", f"({parts}.{name},")
     return expression
 
 
@@ -119,7 +122,7 @@ class RuleEnsemble:
     intercept: float
     rules: list[tuple[tuple[Condition, ...], float]]
 
-    def column(self, stats: str = "_q") -> Column:
+    def column(self, stats: str) -> Column:
         """Score between 0 and 1 as one expression over a struct of statistics."""
         total = F.lit(self.intercept)
         for rule, weight in self.rules:
@@ -175,16 +178,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> RuleEnsemble:
-    """From at most SAMPLE labelled documents that aren't held out, chosen by a hash of their id."""
+    """From at most 2 * SAMPLE labelled documents that aren't held out, SAMPLE or so, chosen by a hash of their id; of rows
+    that share an id one counts, by its text."""
     names = list(_rates())
-    chosen = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)").where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id"), "_y").limit(SAMPLE)
+    chosen = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).where("_id IS NOT NULL AND _y IN (0, 1)").where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y")).withColumn("_h", F.xxhash64("_id"))
+    chosen = cut_lineage(bounded_sample(chosen, "_h", SAMPLE))
     sample = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text")).join(F.broadcast(chosen), "_id")
-    rows = with_statistics(sample).select("_id", "_y", *[F.col(f"_q.{n}").alias(n) for n in names]).orderBy("_id", "_y", *names).toPandas()
+    one = sample.groupBy("_id").agg(F.max("_y").alias("_y"), F.min("text").alias("text"))
+    rows = with_statistics(one, "_q").select("_id", "_y", *[F.col(f"_q.{n}").alias(n) for n in names]).orderBy("_id").toPandas()
     return fit_rules(rows[names].to_numpy(float), rows["_y"].to_numpy(float), names)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, model: RuleEnsemble | None = None) -> DataFrame:
-    """The documents with columns score (0 to 1) and predicted (1 from THRESHOLD on) added."""
+def score_quality(docs: DataFrame, labels: DataFrame, model: RuleEnsemble | None = None, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """The documents with columns score (0 to 1) and predicted (1 from THRESHOLD on) added, under the names given."""
     model = model or train(docs, labels)
-    scored = with_statistics(docs).withColumn("score", model.column())
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")).drop("_q")
+    stats = fresh(docs, "_q")
+    scored = with_statistics(docs, stats).withColumn(score, model.column(stats))
+    return scored.withColumn(predicted, (F.col(score) >= THRESHOLD).cast("int")).drop(stats)

@@ -18,9 +18,7 @@ text; null ids come last; an empty table gives no file and an empty result; othe
 
 from __future__ import annotations
 
-import os
 import struct
-import tempfile
 import uuid
 import zlib
 
@@ -29,8 +27,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import NULL_ID, total_bytes
+from .common import NULL_ID, shared_folder, total_bytes
 from .tokens import encode, vocabulary
 
 LANES, BLOCK, SEGMENT = 32, 1 << 14, 1 << 21
@@ -147,11 +146,6 @@ def decode_segment(data: bytes, only: range | None = None) -> tuple[np.ndarray,
     return listed[:docs], listed[docs:], np.concatenate([np.zeros(0, np.uint32), *parts])
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    own = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "keyloom_checkpoints")
-    return f"{own.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def write_tokens(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", **vocab) -> None:
     """Rows (file, segment, before, n_tokens, payload) at the path; before: ids of the same file ahead of the segment."""
     vocab = vocab or vocabulary()
@@ -181,20 +175,19 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc
 def _read(spark: SparkSession, path: str, columns, schema: str) -> DataFrame:
     """columns: of each document's place among a segment's ids, and the ids, the columns after doc_id and start."""
     segments = spark.read.schema("file long, segment long, before long, n_tokens long, payload binary").parquet(path)
-    totals = sorted((r[0], r[1]) for r in segments.groupBy("file").agg(F.sum("n_tokens")).collect())  # two numbers a file
-    base, at = {}, 0
-    for file, n in totals:
-        base[file], at = at, at + n
+    # a few numbers for each file, so one window takes them all
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = segments.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         for b in batches:
-            for file, before, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for ahead, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 doc, n, ids = decode_segment(data)
                 first = np.cumsum(n) - n
-                yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(first + (base[file] + before)), *columns(first, n, ids)], names)
+                yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(first + ahead), *columns(first, n, ids)], names)
 
-    out = segments.select("file", "before", "payload").mapInArrow(run, schema)
+    out = segments.join(files, "file").select((F.col("ahead") + F.col("before")).alias("ahead"), "payload").mapInArrow(run, schema)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NULL_ID)))
 
 
@@ -218,6 +211,6 @@ def read_checksums(spark: SparkSession, path: str) -> DataFrame:
 
 def encode_and_read_back(docs: DataFrame, end_id: int = 2, read=read_tokens, **vocab) -> DataFrame:
     """Writes the files in the shared folder and gives what they hold."""
-    path = shared_folder(docs.sparkSession, "tokens")
+    path = f"{shared_folder(docs.sparkSession).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path, end_id, **vocab)
     return read(docs.sparkSession, path)

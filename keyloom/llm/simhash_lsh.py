@@ -8,7 +8,8 @@ Only distinct fingerprints enter the tables, 2**(radius+1) - 1 times each, in pa
 within the radius and emits stars, never the pairs of a group; the stars are joined into components (components.py).
 
 similar_texts() is for documents that differ in words or passages: groups of a Jaccard similarity of 0.8 or more of their
-5-word shingles (lower-cased runs of letters and digits), by an exact prefix-filter join. In any one order of all shingles,
+5-word shingles (lower-cased runs of letters and digits). The covering tables link most of them first, by fingerprints of
+those shingles, each link checked by the shingles themselves; an exact prefix-filter join finds the rest. In any one order of all shingles,
 two such sets share one of their first n - ceil(0.8 n) + 1; frequent ones (of a sample) come last in the order. Texts that
 share one are first held against three of them; then all pairs that these links have not joined are compared, after bounds
 by size and by sketches of their differences. No pair is missed. Texts and shingles are told apart by 64 bits of hash.
@@ -42,7 +43,9 @@ SKETCH, SAMPLE, COMMON = 1024, 4_000, 100_000
 #: Texts of a run that all others of it are held against first.
 LEADERS = 3
 #: Rounds of such leaders, each of the largest group of its run, before all that is left is compared pair by pair.
-ROUNDS = 4
+ROUNDS = 2
+#: Differing bits of fingerprints that make two texts candidates.
+RADIUS = 3
 #: Texts to compare whose places are broadcast at most (about 60 bytes each); beyond it they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 _C = np.uint64(0xD1B54A32D192ED03)
@@ -336,30 +339,37 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 if got is None:
                     words = content_words(t)
                     shingles = word_shingles(words)
-                    got = known[d] = (_node(words), len(shingles), _sketch(shingles))
+                    got = known[d] = (_node(words), len(shingles), _sketch(shingles), majority(shingles))
                 out.append(got)
-            yield pa.record_batch([b.column("doc_id"), b.column("digest"), pa.array(_signed([x[0] for x in out])), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], ["doc_id", "digest", "node", "size", "sketch"])
-
-    marked = cut_lineage(base.mapInArrow(mark, "doc_id long, digest string, node long, size long, sketch binary"))
-    classes = cut_lineage(marked.groupBy("node").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch")))
+            yield pa.record_batch([b.column("doc_id"), b.column("digest"), pa.array(_signed([x[0] for x in out])), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()), pa.array(_signed([x[3] for x in out]))], ["doc_id", "digest", "node", "size", "sketch", "fp"])
+
+    marked = cut_lineage(base.mapInArrow(mark, "doc_id long, digest string, node long, size long, sketch binary, fp long"))
+    classes = cut_lineage(marked.groupBy("node").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch"), F.min("fp").alias("fp")))
+    # what the covering tables link, each text held against one of its component
+    linked = link_fingerprints(classes.select("fp").distinct(), RADIUS)
+    placed = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("node", "size", F.coalesce("root", "fp").alias("root"))
+    lead = placed.groupBy("root").agg(F.min(F.struct("node", "size")).alias("q"))
+    stars = placed.select("root", F.struct("node", "size").alias("p")).join(lead, "root").where("p.node <> q.node")
     shared = _shared(base, classes, marked.count(), least)
     sized = shared.join(classes.select("node", "size"), "node")
     fits = F.least("p.size", "q.size") >= F.greatest("p.size", "q.size") * F.lit(least) - 1e-6
     pair = [F.greatest("p.node", "q.node").alias("a"), F.least("p.node", "q.node").alias("b")]
-    links, done, roots = None, None, None
+    done = cut_lineage(stars.where(fits).select(*pair).distinct())
+    links = _verified(done, base, marked, classes, least)
+    roots = connected(links)
     for k in range(ROUNDS + 1):
-        labelled = sized.withColumn("root", F.col("node")) if roots is None else sized.join(roots, "node", "left").select("h", "node", "size", F.coalesce("root", "node").alias("root"))
+        labelled = sized.join(roots, "node", "left").select("h", "node", "size", F.coalesce("root", "node").alias("root"))
         mixed = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
         labelled = cut_lineage(labelled.join(mixed, "h"))
         if k == ROUNDS:
             break
         leads = [F.min_by(F.struct("node", "size"), F.xxhash64("node", F.lit(LEADERS * k + i))) for i in range(LEADERS)]
-        own = labelled.withColumn("root", F.col("root") if k else F.lit(0).cast("long")).groupBy("h", "root").agg(F.count("*").alias("n"), F.array(*leads).alias("q"))
+        own = labelled.groupBy("h", "root").agg(F.count("*").alias("n"), F.array(*leads).alias("q"))
         lead = own.groupBy("h").agg(F.max_by(F.struct(F.col("root").alias("s"), "q"), F.struct("n", "root")).alias("x")).select("h", F.col("x.s").alias("s"), F.explode("x.q").alias("q"))
-        stars = labelled.select("h", "root", F.struct("node", "size").alias("p")).join(lead, "h").where(("root <> s" if k else "p.node <> q.node")).where(fits).select(*pair).distinct()
-        stars = cut_lineage(stars if done is None else stars.join(done, ["a", "b"], "left_anti"))
+        stars = labelled.select("h", "root", F.struct("node", "size").alias("p")).join(lead, "h").where("root <> s").where(fits).select(*pair).distinct()
+        stars = cut_lineage(stars.join(done, ["a", "b"], "left_anti"))
         new = _verified(stars, base, marked, classes, least)
-        links, done = (new, stars) if links is None else (links.unionAll(new), done.unionAll(stars))
+        links, done = links.unionAll(new), done.unionAll(stars)
         if new.isEmpty():
             break
         roots = connected(links)

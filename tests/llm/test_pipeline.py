@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as P
@@ -92,3 +93,28 @@ def test_near_dedup_keeps_different_texts_of_one_id(spark):
     got = dict(P.STAGES)["near_dedup"](spark, spark.createDataFrame(docs, "doc_id long, text string").repartition(3), D)
     want = [(1, texts[0]), (7, texts[1]), (None, texts[2]), (None, texts[3]), (9, texts[4]), (3, texts[5])]
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+CLASHING = "_q _s _stay _digest _found _new _text _in _h score predicted n_replaced found stay docs root tid h digest node".split()
+
+
+def test_every_document_and_column_is_kept(spark):
+    """Different texts under one id or none are documents of their own; columns may have any name."""
+    words = [f"w{k}" for k in range(900)]
+    texts = [" ".join(words[100 * k : 100 * k + 90]) for k in range(6)]
+    ids = [None, None, None, 7, 7, 8]
+    near = texts[5].replace("w505", "x")
+    data = [(i, t, "en", "web", len(t)) for i, t in [*zip(ids, texts, strict=True), (None, near), (7, texts[3])]]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.lit(c))
+    for name, f in P.STAGES[:-1]:
+        out = f(spark, docs, D)
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert all(r[c] == c for r in got for c in CLASHING), name
+        if name == "near_dedup":
+            assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in got) == sorted((i is None, i or 0, t) for i, t in zip(ids, texts, strict=True))
+        elif name != "quality":
+            assert sorted(r.text for r in got) == sorted(d[1] for d in data)
+    assert {r.doc_id for r in P.packing(spark, docs, D).collect()} == {None, 7, 8}

@@ -42,7 +42,7 @@ def test_column_agrees_with_the_model(spark):
     m = Q.fit_rules(x, y, ["a", "b", "c"])
     assert len(m.rules) > 0 and np.mean((m.score(x) > 0.5) == y) > 0.97
     df = spark.createDataFrame([(i, (float(a), float(b), float(c))) for i, (a, b, c) in enumerate(x)], "i int, _q struct<a:double,b:double,c:double>")
-    got = [r.s for r in df.select("i", m.column().alias("s")).orderBy("i").collect()]
+    got = [r.s for r in df.select("i", m.column("_q").alias("s")).orderBy("i").collect()]
     assert np.allclose(got, m.score(x))
 
 

@@ -43,7 +43,11 @@ def test_frequencies_of_many_rare_ids():
     assert f.sum() == 1 << R.BITS and f.min() >= 1 and len(s) == 60_000
 
 
-def test_files(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_files(spark, small, monkeypatch):
+    if small:  # several files, several segments in each
+        monkeypatch.setattr(R, "FILE_BYTES", 2000)
+        monkeypatch.setattr(R, "SEGMENT", 10)
     docs = [(7, None), (None, "last"), (3, "one two"), (3, "one two"), *((100 + i, x) for i, x in enumerate(ODD))]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     got = R.encode_and_read_back(df, read=R.read_checksums).collect()
