@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import table, text_bytes
-from keyloom.llm.decontaminate import contamination
+from keyloom.llm.common import columns_of, fresh, table, text_bytes
+from keyloom.llm.decontaminate import without_contaminated
 from keyloom.llm.pii_feistel import pseudonymise
 from keyloom.llm.quality_rules import score_quality
 from keyloom.llm.queries import PII_KEY
@@ -21,28 +21,31 @@ from keyloom.llm.stock_packing import pack_documents
 
 def quality(spark, docs, sf_dir):
     """Documents that the rule ensemble predicts to be of label 1."""
-    scored = score_quality(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 1").select(docs.columns)
+    score, predicted = fresh(docs, "score"), fresh(docs, "predicted")
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), score=score, predicted=predicted)
+    return scored.where(F.col(predicted) == 1).select(columns_of(docs))
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document of each group of copies and near copies: the one with the smallest id (null ids last, then by text)."""
+    """One document of each group of copies and near copies: the one with the smallest id (null ids last, then by text).
+    Documents of other groups stay, whatever ids they share."""
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("digest"))).alias("first")
-    stay = similar_texts(docs).groupBy("root").agg(first).select(F.col("first.doc_id").alias("_stay"), F.col("first.digest").alias("_digest"))
-    marked = docs.withColumn("_md5", F.md5(text_bytes("text")))
-    kept = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")) & (F.col("_md5") == F.col("_digest")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_md5"]).drop("_md5")
+    stay = similar_texts(docs).groupBy("root").agg(first).select("first.doc_id", "first.digest").alias("stay")
+    mark = fresh(docs, "_digest")
+    marked = docs.withColumn(mark, F.md5(text_bytes("text"))).alias("docs")
+    same = F.col("docs.doc_id").eqNullSafe(F.col("stay.doc_id")) & (F.col(f"docs.{mark}") == F.col("stay.digest"))
+    return marked.join(stay, same, "left_semi").dropDuplicates(["doc_id", mark]).select(columns_of(docs))
 
 
 def decontamination(spark, docs, sf_dir):
     """Documents without a benchmark passage, verbatim or re-parameterised."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
+    return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark, docs, sf_dir):
-    """All documents, with pseudonyms in place of personal data."""
-    return pseudonymise(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """All documents, with pseudonyms in place of personal data; n_chars, where there is one, counts the new text."""
+    new = pseudonymise(docs, PII_KEY, count_col=fresh(docs, "n_replaced"))
+    return (new.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else new).select(columns_of(docs))
 
 
 def packing(spark, docs, sf_dir):
