@@ -69,6 +69,13 @@ def shingle_fingerprint(text: bytes, size: int = 3) -> int:
     return majority(np.array([digest(g, 42) for g in grams], np.uint64))
 
 
+def _pieces(batches, rows: int = 256):
+    """Batches of few rows: texts and sets of shingles are long, and a task's Python has little memory."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def content_words(text: bytes) -> list[str]:
     return _WORD.findall(text.decode("utf-8", "replace").lower())
 
@@ -77,7 +84,7 @@ class _Hashes(dict):
     """Hashes of words, worked out once each."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word.encode(), 7)
         return h
@@ -234,7 +241,7 @@ def _common(base: DataFrame, n: int) -> np.ndarray:
 
     def sample(batches):
         for b in batches:
-            every = [word_shingles(content_words(t)) for t in b.column("text").to_pylist()]
+            every = [word_shingles(content_words(x.as_py())) for x in b.column("text")]
             h, k = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_counts=True)
             yield pa.record_batch([pa.array(_signed(h)), pa.array(k.astype(np.int64))], ["h", "k"])
 
@@ -262,8 +269,8 @@ def _shared(base: DataFrame, classes: DataFrame, n: int, least: float) -> DataFr
     def deal(batches):
         for b in batches:
             done, h, node = set(), [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-            for t in b.column("text").to_pylist():
-                words = content_words(t)
+            for x in b.column("text"):
+                words = content_words(x.as_py())
                 name = _node(words)
                 if name not in done:
                     done.add(name)
@@ -307,8 +314,8 @@ def _verified(pairs: DataFrame, base: DataFrame, marked: DataFrame, classes: Dat
     place = marked.join(wanted, "node").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("of")).select("node", F.col("of.doc_id").alias("_id"), F.col("of.digest").alias("_digest"))
 
     def shingle(batches):
-        for b in batches:
-            sets = [word_shingles(content_words(t)).tobytes() for t in b.column("text").to_pylist()]
+        for b in _pieces(batches):
+            sets = [word_shingles(content_words(x.as_py())).tobytes() for x in b.column("text")]
             yield pa.record_batch([b.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
 
     place = cut_lineage(place)
@@ -317,8 +324,8 @@ def _verified(pairs: DataFrame, base: DataFrame, marked: DataFrame, classes: Dat
     sets = cut_lineage(texts.mapInArrow(shingle, "node long, shingles binary").dropDuplicates(["node"]))
 
     def compare(batches):
-        for b in batches:
-            hit = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
+        for b in _pieces(batches):
+            hit = [similarity(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= least for x, y in zip(b.column("x"), b.column("y"), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
@@ -331,7 +338,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(text).alias("digest"), text.alias("text"))
 
     def mark(batches):
-        for b in batches:
+        for b in _pieces(batches):
             known: dict[str, tuple] = {}
             out = []
             for d, t in zip(b.column("digest").to_pylist(), b.column("text").to_pylist(), strict=True):
