@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,12 +12,19 @@ def live(now_ms: int, expire_at: str = "expire_at_ms") -> Column:
 
 
 def byte_range(value: Column, start: int, stop: int) -> Column:
-    """Bytes start to stop, both included; negative places count from the end; out of range is clamped."""
+    """Bytes start to stop, both included; negative places count from the end; out of range is clamped. A cut may split
+    a character, so the result is binary."""
     b = F.encode(value, "UTF-8")
     n = F.octet_length(b)
     lo = F.greatest(F.lit(start) + (n if start < 0 else 0), F.lit(0))
     hi = F.least(F.lit(stop) + (n if stop < 0 else 0), n - 1)
-    return F.when((lo > hi) | (n == 0), F.lit("")).otherwise(F.decode(F.substring(b, lo + 1, hi - lo + 1), "UTF-8"))
+    return F.when((lo > hi) | (n == 0), F.lit(b"")).otherwise(F.substring(b, lo + 1, hi - lo + 1))
+
+
+def last_of(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """One row a key: the last by a column ord, where there is one, else the greatest value."""
+    last = F.max_by(value, "ord") if "ord" in rows.columns else F.max(value)
+    return rows.groupBy(*by).agg(last.alias(value))
 
 
 def glob(key: Column, pattern: str) -> Column:
@@ -45,13 +52,13 @@ def glob(key: Column, pattern: str) -> Column:
         else:
             out += "\\Q" + c + "\\E"
         i += 1
-    return key.rlike("(?s)^" + out + "$")
+    return key.rlike("(?s)^" + out + "\\z")
 
 
 def slot(key: Column, slots: int = 1024) -> Column:
     """Shard of a key; what stands in the first {braces} decides, where there is something in them."""
     tag = F.regexp_extract(key, r"^[^{]*\{([^}]+)\}", 1)
-    return F.pmod(F.xxhash64(F.when(tag != "", tag).otherwise(key)), F.lit(slots))
+    return F.conv(F.substring(F.md5(F.when(tag != "", tag).otherwise(key)), 1, 8), 16, 10).cast("long") % slots
 
 
 def index_range(n: Column, start: int, stop: int) -> tuple[Column, Column]:

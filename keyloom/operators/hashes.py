@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import glob
+from ..functions.columns import glob, last_of
 
 
 def hget(hf: DataFrame, field: str) -> DataFrame:
@@ -40,13 +40,16 @@ def hdel(hf: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def hincrby(hf: DataFrame, field: str, n: int) -> DataFrame:
-    """Every key's field plus n; a missing field begins at 0."""
-    return hf.groupBy("key").agg(F.expr(f"try_add(coalesce(max(if(field = '{field}', try_cast(value AS BIGINT), NULL)), 0L), {n}L)").alias("value"))
+    """Every key's field plus n; a missing field begins at 0; one that is no integer gives null, as does an overflow."""
+    held = F.max(F.when(F.col("field") == field, F.col("value")))
+    number = F.when(held.isNull(), F.lit(0).cast("long")).otherwise(held.try_cast("long"))
+    return hf.groupBy("key").agg(F.try_add(number, F.lit(n).cast("long")).alias("value"))
 
 
 def hset(hf: DataFrame, new: DataFrame, only_new: bool = False) -> DataFrame:
     """new: key, field, value. Sets fields; with only_new those that don't exist."""
     by = ["key", "field"]
+    new = last_of(new, by, "value")
     return hf.unionByName(new.join(hf, by, "left_anti")) if only_new else hf.join(new, by, "left_anti").unionByName(new)
 
 
@@ -73,7 +76,7 @@ def hscan(hf: DataFrame, cursor: int = 0, count: int = 10, match: str = "*") ->
 
 def hrandfield(hf: DataFrame, count: int, seed: int) -> DataFrame:
     """So many fields of each key, by a seeded hash."""
-    w = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "field"), "field")
+    w = Window.partitionBy("key").orderBy(F.md5(F.concat(F.lit(f"{seed}/"), "field")), "field")
     return hf.withColumn("r", F.row_number().over(w)).where(F.col("r") <= count).select("key", "field", "value")
 
 

@@ -130,8 +130,9 @@ def alive(kv: DataFrame, now_ms: int) -> DataFrame:
     return kv.where(live(now_ms))
 
 
-def persist(kv: DataFrame) -> DataFrame:
-    return kv.withColumn("expire_at_ms", F.lit(0).cast("long"))
+def persist(kv: DataFrame, now_ms: int) -> DataFrame:
+    """What has expired stays gone."""
+    return kv.where(live(now_ms)).withColumn("expire_at_ms", F.lit(0).cast("long"))
 
 
 def key_types(**tables: DataFrame) -> DataFrame:
@@ -294,9 +295,10 @@ def extremes(values: DataFrame, by: str, value: str) -> DataFrame:
     return values.groupBy(by).agg(F.min(value).alias("least"), F.max(value).alias("most"))
 
 
-def expire(kv: DataFrame, at_ms: int, only: str = "") -> DataFrame:
+def expire(kv: DataFrame, at_ms: int, only: str = "", now_ms: int = 0) -> DataFrame:
     """only: "NX" keys without a time to live, "XX" with one, "GT" to a later, "LT" to an earlier time; a key without one
-    passes GT and LT."""
+    passes GT and LT. What has expired stays gone."""
+    kv = kv.where(live(now_ms))
     old = F.col("expire_at_ms")
     may = {"": F.lit(True), "NX": old == 0, "XX": old != 0, "GT": (old == 0) | (F.lit(at_ms) > old), "LT": (old == 0) | (F.lit(at_ms) < old)}[only.upper()]
     return kv.withColumn("expire_at_ms", F.when(may, F.lit(at_ms).cast("long")).otherwise(old))
@@ -336,3 +338,10 @@ def bloom_size(capacity: int, error: float) -> tuple[int, int]:
 def cms_size(error: float, miss: float) -> tuple[int, int]:
     """Width and depth of a count-min sketch: within `error` of all counts, but for a share `miss` of the answers."""
     return math.ceil(math.e / error), math.ceil(math.log(1 / miss))
+
+
+def bitpos_zero(bits: DataFrame) -> DataFrame:
+    """First clear bit of each bitmap: the first place whose number of set bits before it is not the place itself."""
+    w = Window.partitionBy("key").orderBy("offset")
+    r = bits.select("key", "offset", (F.row_number().over(w) - 1).cast("long").alias("r"))
+    return r.groupBy("key").agg(F.coalesce(F.min(F.when(F.col("offset") != F.col("r"), F.col("r"))), F.max("r") + 1).alias("pos"))

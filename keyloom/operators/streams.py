@@ -74,3 +74,13 @@ def xreadgroup(xs: DataFrame, cursors: DataFrame, count: int) -> DataFrame:
 def xreadgroup_again(delivered: DataFrame, acked: DataFrame, ms: int, seq: int = 0) -> DataFrame:
     """Reading by an id: what was delivered from that id on, itself included, and isn't acknowledged."""
     return xtrim_minid(xdel(delivered, acked), ms, seq)
+
+
+def xrange_ids(xs: DataFrame, start: tuple[int, int], end: tuple[int, int]) -> DataFrame:
+    """Entries from one id (ms, seq) to another, both included."""
+    return xs.where((_after(*start) | ((F.col("ms") == start[0]) & (F.col("seq") == start[1]))) & ~_after(*end))
+
+
+def last_ids(xs: DataFrame) -> DataFrame:
+    """Where a group made at $ begins: the last id of each stream."""
+    return xs.groupBy("key").agg(F.max(F.struct("ms", "seq")).alias("id")).select("key", "id.ms", "id.seq")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import byte_range, glob, slot
+from ..functions.columns import byte_range, glob, last_of, slot
 
 
 def strlen(kv: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def setrange(kv: DataFrame, offset: int, text: str) -> DataFrame:
 
 def setnx(kv: DataFrame, new: DataFrame) -> DataFrame:
     """new: key, value. Only keys that don't exist are set."""
-    return kv.unionByName(new.join(kv, "key", "left_anti"))
+    return kv.unionByName(last_of(new, ["key"], "value").join(kv, "key", "left_anti"))
 
 
 def incrby(kv: DataFrame, by: DataFrame) -> DataFrame:
@@ -50,6 +50,7 @@ def incrby(kv: DataFrame, by: DataFrame) -> DataFrame:
 
 def mset(kv: DataFrame, new: DataFrame) -> DataFrame:
     """new: key, value. Sets every key, whether it exists or not."""
+    new = last_of(new, ["key"], "value")
     return kv.join(new, "key", "left_anti").unionByName(new)
 
 

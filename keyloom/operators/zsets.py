@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import glob, index_range
+from ..functions.columns import glob, index_range, last_of
 
 
 def _order(reverse: bool):
@@ -52,7 +52,7 @@ def zincrby(zm: DataFrame, by: DataFrame) -> DataFrame:
 
 def zadd(zm: DataFrame, new: DataFrame, only: str = "") -> DataFrame:
     """only: "" overwrites, "NX" adds, "XX" changes, "GT"/"LT" keep the greater or smaller score."""
-    both = zm.withColumnRenamed("score", "old").join(new.groupBy("key", "member").agg(F.max("score").alias("new")), ["key", "member"], "full")
+    both = zm.withColumnRenamed("score", "old").join(last_of(new, ["key", "member"], "score").withColumnRenamed("score", "new"), ["key", "member"], "full")
     pick = {"": F.coalesce("new", "old"), "NX": F.coalesce("old", "new"), "XX": F.when(F.col("old").isNotNull(), F.coalesce("new", "old")), "GT": F.greatest("old", "new"), "LT": F.least("old", "new")}[only]
     return both.select("key", "member", pick.alias("score")).where("score IS NOT NULL")
 
@@ -87,5 +87,21 @@ def zscan(zm: DataFrame, cursor: int = 0, count: int = 10, match: str = "*") ->
 
 def zrandmember(zm: DataFrame, count: int, seed: int) -> DataFrame:
     """So many members of each key, by a seeded hash."""
-    w = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed), "member"), "member")
+    w = Window.partitionBy("key").orderBy(F.md5(F.concat(F.lit(f"{seed}/"), "member")), "member")
     return zm.withColumn("r", F.row_number().over(w)).where(F.col("r") <= count).select("key", "member", "score")
+
+
+def inside(low: str, high: str):
+    """Scores within bounds as commands write them: a number, "(" before one that is left out, -inf, +inf."""
+    s = F.col("score")
+    above = s > float(low[1:]) if low.startswith("(") else s >= float(low)
+    below = s < float(high[1:]) if high.startswith("(") else s <= float(high)
+    return above & below
+
+
+def between_bounds(zm: DataFrame, low: str, high: str) -> DataFrame:
+    return zm.where(inside(low, high)).select("key", "member", "score")
+
+
+def zcount_bounds(zm: DataFrame, low: str, high: str) -> DataFrame:
+    return zm.groupBy("key").agg(F.count_if(inside(low, high)).alias("n"))

@@ -64,7 +64,7 @@ def str_strlen(spark, d):
 
 @query("SELECT key, right(value, 4) AS value FROM kv", "kv")
 def str_getrange(spark, d):
-    return T.getrange(K.kv(spark, d), -4, -1)
+    return T.getrange(K.kv(spark, d), -4, -1).select("key", F.decode("value", "UTF-8").alias("value"))
 
 
 @query("SELECT w.ord, w.key, kv.value FROM (SELECT range AS ord, 'cust:' || (range * 7) AS key FROM range(500)) w LEFT JOIN kv ON w.key = kv.key", "kv")
@@ -119,9 +119,9 @@ def expire_live_filter(spark, d):
     return O.alive(K.expiring(spark, d), _NOW)
 
 
-@query("SELECT key, value, 0 AS expire_at_ms FROM ex", "ex")
+@query(f"SELECT key, value, 0 AS expire_at_ms FROM ex WHERE expire_at_ms = 0 OR expire_at_ms > {_NOW}", "ex")
 def expire_persist(spark, d):
-    return O.persist(K.expiring(spark, d))
+    return O.persist(K.expiring(spark, d), _NOW)
 
 
 # hashes
@@ -247,7 +247,7 @@ def set_smismember(spark, d):
     return S.smismember(K.sm(spark, d), probes)
 
 
-@query()
+@query("SELECT key, member FROM sm QUALIFY row_number() OVER (PARTITION BY key ORDER BY md5('1/' || member), member) <= 3", "sm")
 def set_srandmember(spark, d):
     return S.srandmember(K.sm(spark, d), 3, seed=1)
 
@@ -372,9 +372,12 @@ def json_objlen(spark, d):
     return O.json_objlen(K.jd(spark, d))
 
 
-@query()
+_CELL = ", c AS (SELECT key, member, CAST(round((lat + 90) / 180 * 67108863) AS BIGINT) AS y, CAST(round((lng + 180) / 360 * 67108863) AS BIGINT) AS x FROM geo), sc AS (SELECT key, member, CAST(list_sum(list_transform(range(26), lambda i: (((y >> i) & 1) << (2 * i)) + (((x >> i) & 1) << (2 * i + 1)))) AS BIGINT) AS score FROM c)"
+
+
+@query(_CELL + " SELECT key, member, score FROM sc", "geo")
 def geo_encode(spark, d):
-    return O.geoadd(K.geo(spark, d))
+    return O.geoadd(K.geo(spark, d)).select("key", "member", "score")
 
 
 _HAV = "2 * 6371000.0 * asin(sqrt(pow(sin((radians(20.0) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(20.0)) * pow(sin((radians(10.0) - radians(lng)) / 2), 2)))"
@@ -568,19 +571,19 @@ def key_prefixes(spark, d):
     return T.prefixes(K.kv(spark, d))
 
 
-@query()
+@query("SELECT CAST('0x' || substr(md5(key), 1, 8) AS BIGINT) % 1024 AS slot, count(*) AS n FROM kv GROUP BY ALL", "kv")
 def key_slots(spark, d):
     return T.keyslots(K.kv(spark, d))
 
 
-@query("SELECT key, value, CASE WHEN expire_at_ms = 0 OR 900000000000 > expire_at_ms THEN 900000000000 ELSE expire_at_ms END AS expire_at_ms FROM ex", "ex")
+@query(f"SELECT key, value, CASE WHEN expire_at_ms = 0 OR 900000000000 > expire_at_ms THEN 900000000000 ELSE expire_at_ms END AS expire_at_ms FROM ex WHERE expire_at_ms = 0 OR expire_at_ms > {_NOW}", "ex")
 def expire_gt(spark, d):
-    return O.expire(K.expiring(spark, d), 900_000_000_000, "GT")
+    return O.expire(K.expiring(spark, d), 900_000_000_000, "GT", _NOW)
 
 
-@query("SELECT key, value, CASE WHEN expire_at_ms = 0 THEN 900000000000 ELSE expire_at_ms END AS expire_at_ms FROM ex", "ex")
+@query(f"SELECT key, value, CASE WHEN expire_at_ms = 0 THEN 900000000000 ELSE expire_at_ms END AS expire_at_ms FROM ex WHERE expire_at_ms = 0 OR expire_at_ms > {_NOW}", "ex")
 def expire_nx(spark, d):
-    return O.expire(K.expiring(spark, d), 900_000_000_000, "NX")
+    return O.expire(K.expiring(spark, d), 900_000_000_000, "NX", _NOW)
 
 
 def _tier(spark):
@@ -625,7 +628,7 @@ def hash_hscan(spark, d):
     return H.hscan(K.hf(spark, d), cursor=1, count=1, match="na*")
 
 
-@query()
+@query("SELECT key, field, value FROM hf QUALIFY row_number() OVER (PARTITION BY key ORDER BY md5('1/' || field), field) <= 2", "hf")
 def hash_hrandfield(spark, d):
     return H.hrandfield(K.hf(spark, d), 2, seed=1)
 
@@ -700,7 +703,7 @@ def set_sscan(spark, d):
     return S.sscan(K.sm(spark, d), 5, 10, "1*")
 
 
-@query()
+@query("SELECT key, member FROM sm QUALIFY row_number() OVER (PARTITION BY key ORDER BY md5('1/' || member), member) > 2", "sm")
 def set_spop(spark, d):
     return S.spop(K.sm(spark, d), 2, seed=1)
 
@@ -725,7 +728,7 @@ def zset_zscan(spark, d):
     return Z.zscan(K.zm(spark, d), 2, 4)
 
 
-@query()
+@query("SELECT key, member, score FROM zm QUALIFY row_number() OVER (PARTITION BY key ORDER BY md5('1/' || member), member) <= 3", "zm")
 def zset_zrandmember(spark, d):
     return Z.zrandmember(K.zm(spark, d), 3, seed=1)
 
@@ -839,7 +842,7 @@ def geo_search_member(spark, d):
     return O.geosearch_member(K.geo(spark, d), "7", 9_000_000, 3).select("key", "member", F.round("metres", 3).alias("metres"))
 
 
-@query()
+@query(_CELL + " SELECT key, member, array_to_string(list_transform(range(11), lambda i: substr('0123456789bcdefghjkmnpqrstuvwxyz', CAST(((CAST(score AS HUGEINT) * 8) // pow(32, 10 - i)::HUGEINT) % 32 AS INT) + 1, 1)), '') AS geohash FROM sc", "geo")
 def geo_hash(spark, d):
     return O.geohash(O.geoadd(K.geo(spark, d)))
 
@@ -986,3 +989,6 @@ def hash_hexpire(spark, d):
 @query("SELECT key, field, value, 0 AS expire_at_ms FROM hf WHERE field <> 'nation'", "hf")
 def hash_hpersist_live(spark, d):
     return O.alive(H.hexpire(_fields_expiring(spark, d), ["segment"], 0), _NOW)
+
+
+from . import commands  # noqa: E402, F401  more queries, registered by it

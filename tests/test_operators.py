@@ -11,8 +11,10 @@ def one(spark, column):
 
 def test_byte_range(spark):
     for start, stop, want in ((0, -1, "hello"), (-3, -1, "llo"), (1, 2, "el"), (4, 2, ""), (0, 99, "hello"), (9, 12, "")):
-        assert one(spark, byte_range(F.lit("hello"), start, stop)) == want
-    assert one(spark, byte_range(F.lit(""), 0, -1)) == ""
+        assert bytes(one(spark, byte_range(F.lit("hello"), start, stop))) == want.encode()
+    assert one(spark, byte_range(F.lit(""), 0, -1)) == b""
+    assert one(spark, byte_range(F.lit("é"), 0, 0)) == b"\xc3"
+    assert not one(spark, glob(F.lit("abc\n"), "abc"))
 
 
 def test_glob(spark):
