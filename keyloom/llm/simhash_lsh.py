@@ -38,7 +38,7 @@ from .windows import changes
 SHORT_RUN = 48
 #: Bytes of packed fingerprints to a bucket.
 BUCKET_BYTES = 8 << 20
-#: Bits of the sketches that rule pairs out; texts that are looked at for common shingles, and shingles kept of them.
+#: Least bits of the sketches that rule pairs out; texts that are looked at for common shingles, and shingles kept of them.
 SKETCH, SAMPLE, COMMON = 1024, 4_000, 100_000
 #: Texts of a run that all others of it are held against first.
 LEADERS = 3
@@ -227,9 +227,21 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sketch(shingles: np.ndarray) -> bytes:
-    """Parity of the number of shingles in each of SKETCH bins. Every shingle that only one of two sets has changes one
-    bit at most, so the differing bits of two sketches never outnumber those shingles."""
-    return np.packbits(np.bincount((shingles >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1 == 1).tobytes()
+    """Parity of the number of shingles in each of 1,024 bins, in as many as there are shingles for long texts (a power of
+    two). Every shingle that only one of two sets has changes one bit at most, so the differing bits of two sketches never
+    outnumber those shingles."""
+    bins = max(SKETCH, 1 << max(0, len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles >> np.uint64(20)).astype(np.int64) % bins, minlength=bins) & 1 == 1).tobytes()
+
+
+def _differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Differing bits of pairs of sketches; the longer of two is folded to the shorter's bins."""
+    out, size = np.zeros(len(x), np.int64), np.array([(len(p), len(q)) for p, q in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+    for s, t in np.unique(size, axis=0):
+        at = np.flatnonzero((size == (s, t)).all(axis=1))
+        p, q = (np.frombuffer(b"".join(z[i] for i in at), np.uint64).reshape(len(at), -1, min(s, t) // 8) for z in (x, y))
+        out[at] = np.bitwise_count(np.bitwise_xor.reduce(p, axis=1) ^ np.bitwise_xor.reduce(q, axis=1)).sum(axis=1)
+    return out
 
 
 def _node(words: list[str]) -> int:
@@ -301,10 +313,9 @@ def _verified(pairs: DataFrame, base: DataFrame, marked: DataFrame, classes: Dat
     """Those of the pairs a, b of nodes whose texts are at least so similar."""
 
     def possible(batches):
-        for b in batches:
+        for b in _pieces(batches):
             m, n = b.column("m").to_numpy(), b.column("n").to_numpy()
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, SKETCH // 64) for c in ("x", "y"))
-            far = np.bitwise_count(x ^ y).sum(axis=1)
+            far = _differing(b.column("x").to_pylist(), b.column("y").to_pylist())
             yield b.select(["a", "b"]).filter(pa.array(far <= (m + n) * ((1 - least) / (1 + least)) + 1e-6))
 
     one = classes.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x"))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from keyloom.llm.simhash_lsh import covering_masks, link_fingerprints, near_duplicate_groups, near_links, simhash_near_duplicates, similarity, word_shingles
+from keyloom.llm.simhash_lsh import _differing, _sketch, covering_masks, link_fingerprints, near_duplicate_groups, near_links, simhash_near_duplicates, similarity, word_shingles
 
 
 def brute_fp(text):
@@ -38,6 +38,17 @@ def test_every_pair_within_the_radius_collides():
             assert ((masks & diff) == 0).any()
 
 
+def test_sketches_bound_differences():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 1, 900, 1024, 1025, 5000, 40_000)]
+    sets += [np.unique(np.concatenate((s[len(s) // 10 :], s[:3] + np.uint64(1 << 22)))) for s in sets]
+    pairs = [(a, b) for a in sets for b in sets]
+    far = _differing([_sketch(a) for a, _ in pairs], [_sketch(b) for _, b in pairs])
+    assert all(d <= len(np.setxor1d(a, b)) for d, (a, b) in zip(far, pairs, strict=True))
+    other = np.unique(r.integers(0, 1 << 63, 40_000, dtype=np.uint64))
+    assert _differing([_sketch(sets[6])], [_sketch(other)])[0] > (40_000 + 40_000) / 9  # unrelated long texts are told apart
+
+
 def test_long_runs():
     r = random.Random(5)
     fp = np.array([sum(1 << k for k in r.sample(range(14), r.randint(0, 5))) for _ in range(400)], np.uint64)
