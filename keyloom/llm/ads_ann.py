@@ -22,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 from pyspark.sql.window import Window
 
-from .common import cut_lineage
+from .common import bounded_sample, cut_lineage
 
 #: Vectors from which centroids are fitted, lists at most, points of a list in one part.
 SAMPLE, LISTS, PART = 16_384, 4_096, 4_096
@@ -36,7 +37,7 @@ COLUMNS, ERRORS = 16, 2.1
 
 def rotation(dim: int, seed: int = 7) -> np.ndarray:
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
-    return (q * np.sign(np.diag(r))).astype(np.float32)
+    return q * np.sign(np.diag(r))
 
 
 def centroids(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
@@ -52,7 +53,7 @@ def centroids(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 3) -
         c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
         if (n == 0).any():
             c[n == 0] = sample[np.argsort(-d.min(axis=1))[: int((n == 0).sum())]]
-    return c.astype(np.float32)
+    return c.astype(sample.dtype)
 
 
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -77,7 +78,7 @@ def fit_probes(sample: np.ndarray, centre: np.ndarray, k: int, queries: int = 25
 def adaptive_scan(query: np.ndarray, rotated: np.ndarray, blocks: list[np.ndarray], bound: float) -> np.ndarray:
     """Candidates that may be nearer than the bound (a squared distance): blocks hold the rotated columns of all."""
     dim, seen, alive = len(rotated), 0, np.arange(len(blocks[0]))
-    partial = np.zeros(len(alive), np.float32)
+    partial = np.zeros(len(alive), blocks[0].dtype)
     for b in blocks:
         step = b[alive] - rotated[seen : seen + b.shape[1]]
         partial = partial + np.einsum("ij,ij->i", step, step)
@@ -91,11 +92,14 @@ def adaptive_scan(query: np.ndarray, rotated: np.ndarray, blocks: list[np.ndarra
 
 
 def _matrix(col: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return np.concatenate([np.zeros((0, dim), np.float32), *(c.flatten().to_numpy().reshape(-1, dim) for c in col.chunks)])
+    """Rows in the column's own precision."""
+    none = np.zeros((0, dim), col.type.value_type.to_pandas_dtype())
+    return np.concatenate([none, *(c.flatten().to_numpy().reshape(-1, dim) for c in col.chunks)])
 
 
 def scan_list(points: np.ndarray, ids: list[list[int]], queries: np.ndarray, turn: np.ndarray, take: int):
     """For each query the `take` nearest members of a list: (squared distances, ids)."""
+    turn = turn.astype(points.dtype)
     exact, rotated = points.astype(np.float64), points @ turn
     blocks = [np.ascontiguousarray(rotated[:, i : i + COLUMNS]) for i in range(0, points.shape[1], COLUMNS)]
     turned, out = queries @ turn, []
@@ -116,13 +120,14 @@ def nearest_neighbours(vectors: DataFrame, queries_where: str, k: int = 10, id_c
     take = k + 1  # the query itself may be among them
     v = F.col("v")
     sound = F.col("vec_id").isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    every = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.coalesce(sound, F.lit(False)))
+    kind = "float" if isinstance(vectors.schema[vector_col].dataType.elementType, FloatType) else "double"
+    every = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v")).where(F.coalesce(sound, F.lit(False)))
     sizes = every.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], schema)
     dim = sizes["dim"]
-    every = every.where(F.size("v") == dim).select("vec_id", F.transform("v", lambda x: x + F.lit(0.0).cast("float")).alias("v"))  # -0.0 is 0.0
+    every = every.where(F.size("v") == dim).select("vec_id", F.transform("v", lambda x: x + F.lit(0.0).cast(kind)).alias("v"))  # -0.0 is 0.0
 
     def classes(df, most):
         """One row for each distinct vector, with its smallest ids; ranks are limited before the shuffle."""
@@ -134,17 +139,18 @@ def nearest_neighbours(vectors: DataFrame, queries_where: str, k: int = 10, id_c
     heads = cut_lineage(classes(asked, 1).select(F.col("ids")[0].alias("head"), "v"))
     n = points.count()
     lists = int(min(LISTS, max(1, n**0.5 / 2)))
-    rows = points.orderBy(F.xxhash64(F.col("ids")[0])).limit(SAMPLE).select("v").toPandas()["v"]
-    sample = np.array(rows.tolist(), np.float32)
+    some = bounded_sample(points.select("v", F.xxhash64(F.col("ids")[0]).alias("h")), "h", SAMPLE).orderBy("h").limit(SAMPLE)
+    rows = some.select("v").toPandas()["v"]
+    sample = np.array(rows.tolist(), np.float32 if kind == "float" else np.float64)
     centre, turn = centroids(sample, lists), rotation(dim)
     lists, probes_each = len(centre), fit_probes(sample, centre, k)
 
     def assign(batches):
         for b in batches:
-            x = _matrix(pa.chunked_array([b.column("v")], pa.list_(pa.float32())), dim)
+            x = _matrix(pa.chunked_array([b.column("v")]), dim)
             yield pa.record_batch([pa.array(squared(x, centre).argmin(axis=1).astype(np.int32)), b.column("ids"), b.column("v")], ["list", "ids", "v"])
 
-    placed = cut_lineage(points.mapInArrow(assign, "list int, ids array<long>, v array<float>"))
+    placed = cut_lineage(points.mapInArrow(assign, f"list int, ids array<long>, v array<{kind}>"))
     held = np.zeros(lists, np.int64)
     for r in placed.groupBy("list").count().collect():  # a row for each list
         held[r[0]] = r[1]
@@ -152,7 +158,7 @@ def nearest_neighbours(vectors: DataFrame, queries_where: str, k: int = 10, id_c
 
     def probe(batches):
         for b in batches:
-            x = _matrix(pa.chunked_array([b.column("v")], pa.list_(pa.float32())), dim)
+            x = _matrix(pa.chunked_array([b.column("v")]), dim)
             order = np.argsort(squared(x, centre), axis=1)
             enough = np.argmax(np.cumsum(held[order], axis=1) >= min(LEAST_POINTS, held.sum()), axis=1) + 1
             count = np.minimum(lists, np.maximum(enough, max(LEAST_PROBES, probes_each)))
@@ -175,7 +181,7 @@ def nearest_neighbours(vectors: DataFrame, queries_where: str, k: int = 10, id_c
 
     share = F.pmod(F.xxhash64(F.col("ids")[0]), F.element_at(F.lit(parts.tolist()), F.col("list") + 1)).cast("int")
     dealt = placed.withColumn("part", share)
-    probes = heads.select("head", "v").mapInArrow(probe, "list int, part int, head long, v array<float>")
+    probes = heads.select("head", "v").mapInArrow(probe, f"list int, part int, head long, v array<{kind}>")
     found = dealt.groupBy("list", "part").cogroup(probes.groupBy("list", "part")).applyInArrow(scan, "head long, vec_id long, score double")
     best = found.groupBy("head").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, take).alias("best"))
     answers = heads.join(best, "head").select("v", "best")

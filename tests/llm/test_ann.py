@@ -59,6 +59,17 @@ def test_recall_without_clusters(spark):
     assert recall(spark, rows) >= 0.93
 
 
+def test_doubles_stay_doubles(spark):
+    r = np.random.default_rng(6)
+    base = r.standard_normal(24)
+    rows = [(i, (base + i * 1e-12 * np.eye(24)[0]).tolist()) for i in range(40)] + [(100, [1e39, *[0.0] * 23])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = brute(rows)
+    for q in (0, 100):
+        got = nearest_neighbours(df, "vec_id % 100 = 0").where(f"query_id = {q}").orderBy("rank").collect()
+        assert [(x.score, x.vec_id) for x in got] == want[q]
+
+
 def test_few(spark):
     assert recall(spark, [(0, [1.0] * 24)]) == 0
     assert recall(spark, [(0, [1.0] * 24), (100, [2.0] * 24), (5, [2.0] * 24)]) == 1
