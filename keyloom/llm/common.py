@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows and bytes of a batch sent to Python, where rows are long (texts, sets of shingles).
+SMALL_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs run inside send few rows at a time to Python, so that the buffers of both sides stay small whatever the rows'
+    length; the session's own settings come back afterwards. For work that ends inside, not for plans that are returned."""
+    was = {k: spark.conf.get(k, None) for k in SMALL_BATCH}
+    try:
+        for k, v in SMALL_BATCH.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table hasn't."""
     taken = {c.lower() for c in df.columns}

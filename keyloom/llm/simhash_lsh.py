@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, mix, pack, text_bytes, unpack
+from .common import cut_lineage, mix, pack, small_batches, text_bytes, unpack
 from .components import connected, local_components
 from .windows import changes
 
@@ -345,6 +345,11 @@ def _verified(pairs: DataFrame, base: DataFrame, marked: DataFrame, classes: Dat
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """doc_id, digest (MD5 of the text's bytes), root (long; the same for all rows of a group) for every row."""
+    with small_batches(docs.sparkSession):
+        return _similar_texts(docs, id_col, text_col, least)
+
+
+def _similar_texts(docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
     text = text_bytes(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(text).alias("digest"), text.alias("text"))
 

@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
+from keyloom.llm.common import SMALL_BATCH, small_batches
 from keyloom.llm.simhash_lsh import _differing, _sketch, covering_masks, link_fingerprints, near_duplicate_groups, near_links, simhash_near_duplicates, similarity, word_shingles
 
 
@@ -147,3 +149,23 @@ def test_block_edits(spark):
             pairs.append(2 * i)
     got = {x.doc_id: x.group_id for x in near_duplicate_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
     assert len(pairs) > 90 and got == {i: i - 1 if i - 1 in pairs else i for i, _ in docs}
+
+
+def test_small_batches_bound_bytes_and_come_back(spark):
+    """A batch ends by its bytes, and the session's own settings are the same afterwards, set or not."""
+    rows, size = SMALL_BATCH
+    was = spark.conf.get(rows, None)
+    spark.conf.set(rows, "3000")
+    try:
+
+        def count(batches):
+            for b in batches:
+                yield pa.record_batch([pa.array([b.num_rows], pa.int64())], ["n"])
+
+        long_rows = spark.range(2000).repartition(1).selectExpr("repeat('x', 20000) AS text").mapInArrow(count, "n long")
+        with small_batches(spark):
+            inside = [r.n for r in long_rows.collect()]
+        assert max(inside) < 300 and sum(inside) == 2000
+        assert spark.conf.get(rows) == "3000" and spark.conf.get(size, None) is None
+    finally:
+        spark.conf.unset(rows) if was is None else spark.conf.set(rows, was)
