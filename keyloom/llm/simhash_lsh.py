@@ -40,6 +40,8 @@ SHORT_RUN = 48
 BUCKET_BYTES = 8 << 20
 #: Least bits of the sketches that rule pairs out; texts that are looked at for common shingles, and shingles kept of them.
 SKETCH, SAMPLE, COMMON = 1024, 4_000, 100_000
+#: Fingerprints and shingles dealt to buckets at once, over as many batches as that takes.
+DEAL_FPS, DEAL_SHINGLES = 20_000, 400_000
 #: Texts of a run that all others of it are held against first.
 LEADERS = 3
 #: Rounds of such leaders, each of the largest group of its run, before all that is left is compared pair by pair.
@@ -177,22 +179,38 @@ def _outwards(fp: np.ndarray, members: np.ndarray, radius: int):
     return np.concatenate(a), np.concatenate(b)
 
 
+def _gathered(batches, least: int):
+    """The first column, a run of at least so many values at a time."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b.column(0).to_numpy().view(np.uint64))
+        n += len(held[-1])
+        if n >= least:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if n:
+        yield np.concatenate(held)
+
+
+def _payloads(to: np.ndarray, buckets: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """bucket, payload: the entries of each bucket as one packed blob."""
+    order = np.argsort(to, kind="stable")
+    cut = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
+    rows = [(k, pack(*(c[order[i:j]] for c in columns))) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
+    return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
+
+
 def link_fingerprints(fps: DataFrame, radius: int) -> DataFrame:
     """fps: distinct fp (long). Returns node, root of fingerprints within reach of each other, but for the roots."""
     masks = covering_masks(radius)
     buckets = max(1, -(-fps.count() * len(masks) * 9 // BUCKET_BYTES))
 
     def deal(batches):
-        for batch in batches:
-            every = batch.column(0).to_numpy().view(np.uint64)
-            for lo in range(0, len(every), 20_000):
-                fp = np.tile(every[lo : lo + 20_000], len(masks))
-                v = np.repeat(np.arange(len(masks)), len(every[lo : lo + 20_000]))
-                to = (_table_key(fp, masks, v) >> np.uint64(32)) % np.uint64(buckets)
-                order = np.argsort(to, kind="stable")
-                cut = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
-                rows = [(k, pack(fp[order[i:j]], v[order[i:j]].astype(np.uint16))) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
-                yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
+        for every in _gathered(batches, DEAL_FPS):
+            for lo in range(0, len(every), DEAL_FPS):
+                fp = np.tile(every[lo : lo + DEAL_FPS], len(masks))
+                v = np.repeat(np.arange(len(masks)), len(every[lo : lo + DEAL_FPS]))
+                yield _payloads((_table_key(fp, masks, v) >> np.uint64(32)) % np.uint64(buckets), buckets, fp, v.astype(np.uint16))
 
     def link(key, sent):
         got = [unpack(x, np.uint64, np.uint16) for x in sent["payload"].to_pylist()]
@@ -279,8 +297,8 @@ def _shared(base: DataFrame, classes: DataFrame, n: int, least: float) -> DataFr
     buckets = max(1, -(-int(classes.agg(F.sum("size")).first()[0] or 0) * 4 // BUCKET_BYTES))
 
     def deal(batches):
+        done, h, node, n = set(), [], [], 0
         for b in batches:
-            done, h, node = set(), [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
             for x in b.column("text"):
                 words = content_words(x.as_py())
                 name = _node(words)
@@ -288,12 +306,14 @@ def _shared(base: DataFrame, classes: DataFrame, n: int, least: float) -> DataFr
                     done.add(name)
                     h.append(_prefix(word_shingles(words), known, place, least))
                     node.append(np.full(len(h[-1]), name, np.uint64))
-            h, node = np.concatenate(h), np.concatenate(node)
-            to = mix(h) % np.uint64(buckets)
-            order = np.argsort(to, kind="stable")
-            cut = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64))
-            rows = [(k, pack(h[order[i:j]], node[order[i:j]])) for k, (i, j) in enumerate(zip(cut, cut[1:], strict=False)) if j > i]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
+                    n += len(h[-1])
+                if n >= DEAL_SHINGLES:
+                    every = np.concatenate(h)
+                    yield _payloads(mix(every) % np.uint64(buckets), buckets, every, np.concatenate(node))
+                    done, h, node, n = set(), [], [], 0
+        if n:
+            every = np.concatenate(h)
+            yield _payloads(mix(every) % np.uint64(buckets), buckets, every, np.concatenate(node))
 
     def meet(key, sent):
         got = [unpack(x, np.uint64, np.uint64) for x in sent["payload"].to_pylist()]
