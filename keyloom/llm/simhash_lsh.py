@@ -11,8 +11,12 @@ similar_texts() is for documents that differ in words or passages: groups of a J
 5-word shingles (lower-cased runs of letters and digits). The covering tables link most of them first, by fingerprints of
 those shingles, each link checked by the shingles themselves; an exact prefix-filter join finds the rest. In any one order of all shingles,
 two such sets share one of their first n - ceil(0.8 n) + 1; frequent ones (of a sample) come last in the order. Texts that
-share one are first held against three of them; then all pairs that these links have not joined are compared, after bounds
-by size and by sketches of their differences. No pair is missed. Texts and shingles are told apart by 64 bits of hash.
+share one and aren't joined yet meet in blocks, and no pair is written out. First their sketches meet, and texts that no
+text of another component may match by size and sketch go; then the sets of the others. There a text is its differences from
+the shingles that most of the block have: two similar texts far from that centre share many of their differences, so those
+are the ones looked up, the rarest first, and a loose group around one text costs little though all of it shares prefix
+shingles. Blocks beyond a bound are cut into shares, each pair of which meets. No pair is missed. Texts and shingles are told
+apart by 64 bits of hash.
 
 Defined cases: null text counts as empty; texts without words have fingerprint zero, which links like any other; rows
 with a null id take part and get the smallest id reachable; repeated rows share a fingerprint; an empty table gives an
@@ -42,10 +46,8 @@ BUCKET_BYTES = 8 << 20
 SKETCH, SAMPLE, COMMON = 1024, 4_000, 100_000
 #: Fingerprints and shingles dealt to buckets at once, over as many batches as that takes.
 DEAL_FPS, DEAL_SHINGLES = 20_000, 400_000
-#: Texts of a run that all others of it are held against first.
-LEADERS = 3
-#: Rounds of such leaders, each of the largest group of its run, before all that is left is compared pair by pair.
-ROUNDS = 2
+#: Shingles of a block's texts that meet at once; a larger block is cut into shares.
+MEET = 1 << 19
 #: Differing bits of fingerprints that make two texts candidates.
 RADIUS = 3
 #: Texts to compare whose places are broadcast at most (about 60 bytes each); beyond it they are joined by shuffle.
@@ -329,6 +331,21 @@ def _shared(base: DataFrame, classes: DataFrame, n: int, least: float) -> DataFr
     return cut_lineage(base.select("text").mapInArrow(deal, "bucket long, payload binary").groupBy("bucket").applyInArrow(meet, "h long, node long"))
 
 
+def _sets(wanted: DataFrame, base: DataFrame, marked: DataFrame) -> DataFrame:
+    """node, shingles: the packed sets of the wanted nodes."""
+    place = marked.join(wanted, "node").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("of")).select("node", F.col("of.doc_id").alias("_id"), F.col("of.digest").alias("_digest"))
+
+    def shingle(batches):
+        for b in _pieces(batches):
+            sets = [word_shingles(content_words(x.as_py())).tobytes() for x in b.column("text")]
+            yield pa.record_batch([b.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    place = cut_lineage(place)
+    place = F.broadcast(place) if place.count() <= BROADCAST_ROWS else place
+    texts = base.join(place, F.col("digest").eqNullSafe(F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
+    return cut_lineage(texts.mapInArrow(shingle, "node long, shingles binary").dropDuplicates(["node"]))
+
+
 def _verified(pairs: DataFrame, base: DataFrame, marked: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Those of the pairs a, b of nodes whose texts are at least so similar."""
 
@@ -341,18 +358,7 @@ def _verified(pairs: DataFrame, base: DataFrame, marked: DataFrame, classes: Dat
     one = classes.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("sketch").alias("x"))
     two = classes.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("sketch").alias("y"))
     near = cut_lineage(pairs.join(one, "a").join(two, "b").select("a", "b", "m", "n", "x", "y").mapInArrow(possible, "a long, b long"))
-    wanted = near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))).distinct()
-    place = marked.join(wanted, "node").groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("of")).select("node", F.col("of.doc_id").alias("_id"), F.col("of.digest").alias("_digest"))
-
-    def shingle(batches):
-        for b in _pieces(batches):
-            sets = [word_shingles(content_words(x.as_py())).tobytes() for x in b.column("text")]
-            yield pa.record_batch([b.column("node"), pa.array(sets, pa.binary())], ["node", "shingles"])
-
-    place = cut_lineage(place)
-    place = F.broadcast(place) if place.count() <= BROADCAST_ROWS else place
-    texts = base.join(place, F.col("digest").eqNullSafe(F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text")
-    sets = cut_lineage(texts.mapInArrow(shingle, "node long, shingles binary").dropDuplicates(["node"]))
+    sets = _sets(near.select(F.col("a").alias("node")).unionAll(near.select(F.col("b").alias("node"))).distinct(), base, marked)
 
     def compare(batches):
         for b in _pieces(batches):
@@ -363,6 +369,143 @@ def _verified(pairs: DataFrame, base: DataFrame, marked: DataFrame, classes: Dat
     return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"))
 
 
+def may_match(sketches: list[bytes], size: np.ndarray, root: np.ndarray, least: float) -> np.ndarray:
+    """Mask of the texts that some text of another root fits by size and sketch. Two that are known to stay aren't compared."""
+    stay, most = np.zeros(len(size), bool), (1 - least) / (1 + least)
+    bits = np.array([len(x) for x in sketches])
+    for b in np.unique(bits):  # sizes that fit have sketches of one length, or the larger text one of twice that
+        own, next_ = np.flatnonzero(bits == b), np.flatnonzero(bits == 2 * b)
+        at = np.concatenate((own, next_))
+        words = np.concatenate([np.bitwise_xor.reduce(np.frombuffer(b"".join(sketches[i] for i in k), np.uint64).reshape(len(k), -1, b // 8), axis=1) for k in (own, next_) if len(k)])
+        order = np.argsort(size[at], kind="stable")
+        at, words = at[order], words[order]
+        to = np.searchsorted(size[at], size[at] / least + 1e-6, "right")
+        for k in np.flatnonzero(bits[at] == b):
+            x, y = at[k], at[k + 1 : to[k]]
+            new = np.flatnonzero((root[y] != root[x]) & ~(stay[x] & stay[y]))
+            if len(new):
+                far = np.bitwise_count(words[k + 1 + new] ^ words[k]).sum(axis=1, dtype=np.int64)
+                near = y[new[far <= (size[x] + size[y[new]]) * most + 1e-6]]
+                stay[near] = True
+                stay[x] |= len(near) > 0
+    return stay
+
+
+def block_links(sets: list[np.ndarray], root: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links between sets of different roots that are at least so similar, as many as it takes to join all such sets.
+
+    D(x) are the differences of x from the block's centre, the shingles that over half of its sets have. x and y are similar
+    if |D(x)| + |D(y)| - 2 |D(x) & D(y)| is at most `most` times their sizes: slack(x) + slack(y) >= 0 is enough, otherwise
+    they share -(slack(x) + slack(y)) / 2 differences or more, one of which is among the first of D(x) in any order."""
+    n, most, eps = len(sets), (1 - least) / (1 + least), 1e-9
+    size, label = np.array([len(x) for x in sets]), np.unique(root, return_inverse=True)[1]
+    first = np.concatenate(([0], np.cumsum(size)))
+    every, at = np.unique(np.concatenate(sets), return_inverse=True)
+    who, count = np.repeat(np.arange(n), size), np.bincount(at, minlength=len(every))
+    centre = count * 2 > n
+    inside, absent = centre[at], np.ones((n, int(centre.sum())), bool)
+    absent[who[inside], (np.cumsum(centre) - 1)[at[inside]]] = False
+    x, e = np.nonzero(absent)
+    x, e = np.concatenate((who[~inside], x)), np.concatenate((at[~inside], np.flatnonzero(centre)[e]))
+    count = np.where(centre, n - count, count)
+    differ = np.bincount(x, minlength=n)
+    x, e = x[count[e] > 1], e[count[e] > 1]  # what no other set shares finds nothing, but comes first
+    own = differ - np.bincount(x, minlength=n)
+    mine, start = e[np.lexsort((e, count[e], x))], np.concatenate(([0], np.cumsum(np.bincount(x, minlength=n))))
+    order = np.argsort(e, kind="stable")
+    posts, post = x[order], np.concatenate(([0], np.cumsum(np.bincount(e, minlength=len(every)))))
+    slack, links = size * most - differ, []
+
+    def join(x: int, y: int) -> None:
+        if label[x] != label[y]:
+            links.append((int(x), int(y)))
+            label[label == label[y]] = label[x]
+
+    top = int(np.argmax(slack))
+    for y in np.flatnonzero(slack + slack[top] >= -eps):
+        join(top, y)
+    head = int(np.argmax(label == np.argmax(np.bincount(label))))
+    ahead, has = np.ones(n, bool), np.zeros(len(every), bool)
+    for x in range(n):
+        if label[x] == label[head]:
+            continue
+        ahead[x] = False
+        other = ahead & (label != label[x]) & (np.minimum(size, size[x]) >= least * np.maximum(size, size[x]) - 1e-6)
+        if not other.any():
+            continue
+        share = max(1, math.ceil(-(slack[x] + slack[other].max()) / 2 - eps))
+        look = mine[start[x] : min(start[x + 1], start[x] + max(0, differ[x] - share + 1 - own[x]))]
+        if not len(look):
+            continue
+        met = np.bincount(np.concatenate([posts[post[k] : post[k + 1]] for k in look]), minlength=n)
+        near = np.flatnonzero(other & (met > 0) & (met >= -(slack[x] + slack) / 2 - (share - 1) - eps))
+        if not len(near):
+            continue
+        has[at[first[x] : first[x + 1]]] = True
+        both = np.array([np.count_nonzero(has[at[first[y] : first[y + 1]]]) for y in near])
+        has[at[first[x] : first[x + 1]]] = False
+        for y in near[both / (size[x] + size[near] - both) >= least]:
+            join(x, y)
+    return links
+
+
+def _blocks(entries: DataFrame) -> DataFrame:
+    """entries: h, node, size, root of all that share an h. Returns block, node, size, root such that two of one h and
+    different roots are in some block: the h of one frequent root together, so that a text is in few blocks, or h by h
+    where that is less. A block beyond MEET is cut into shares, each pair of which is a block."""
+    weight = entries.groupBy("root").agg(F.count("*").alias("n"))
+    most = entries.select("h", "root").distinct().join(weight, "root").groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("c"))
+    placed = cut_lineage(entries.join(most, "h"))
+    together = placed.select("c", "node", "size", "root").distinct()
+    parts, cost = F.ceil(F.sum("size") / MEET), F.sum("size") * F.greatest(F.lit(1), F.ceil(F.sum("size") / MEET) - 1)
+    by_c = together.groupBy("c").agg(parts.alias("parts"), cost.alias("cost"))
+    by_h = placed.groupBy("c", "h").agg(parts.alias("parts"), cost.alias("cost"))
+    plan = by_c.join(by_h.groupBy("c").agg(F.sum("cost").alias("apart")), "c").select("c", "parts", (F.col("cost") <= F.col("apart")).alias("whole"))
+    plan = cut_lineage(plan)
+    rows = [F.col("parts"), F.col("node"), F.col("size"), F.col("root")]
+    one = together.join(plan.where("whole"), "c").select(F.xxhash64("c").alias("key"), *rows)
+    two = placed.join(by_h.join(plan.where("NOT whole").select("c"), "c").select("h", "parts"), "h").select(F.xxhash64("h", F.lit(1)).alias("key"), *rows)
+    dealt = one.unionAll(two).withColumn("share", F.pmod(F.xxhash64("node", F.lit(5)), "parts"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: (o != F.col("share")) | (F.col("parts") == 1))
+    pair = dealt.withColumn("other", F.explode(others))
+    return cut_lineage(pair.select(F.xxhash64("key", F.least("share", "other"), F.greatest("share", "other")).alias("block"), "node", "size", "root"))
+
+
+def _by_block(rows: DataFrame, size: int, solve, schema: str) -> DataFrame:
+    """What solve(block, node, size, root, payload) returns for every block of the rows, which have these columns; many
+    small blocks go to one task call. size: bytes of all payloads."""
+    buckets = max(1, -(-size // BUCKET_BYTES))
+
+    def run(key, sent):
+        block, node, n, root = (sent[c].to_numpy() for c in ("block", "node", "size", "root"))
+        order, payload = np.argsort(block, kind="stable"), sent["payload"].combine_chunks()
+        cut = np.flatnonzero(np.concatenate(([True], block[order][1:] != block[order][:-1], [True])))
+        got = [solve(block[k], node[k], n[k], root[k], payload.take(pa.array(k))) for k in (order[i:j] for i, j in zip(cut, cut[1:], strict=False))]
+        return pa.concat_tables(got)
+
+    return rows.withColumn("bucket", F.pmod("block", F.lit(buckets))).select("bucket", "block", "node", "size", "root", "payload").groupBy("bucket").applyInArrow(run, schema)
+
+
+def _met(blocks: DataFrame, base: DataFrame, marked: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """a, b: links that join all texts of the blocks that are at least so similar."""
+
+    def sieve(block, node, size, root, sketches):
+        k = np.flatnonzero(may_match(sketches.to_pylist(), size, root, least))
+        return pa.table({"block": block[k], "node": node[k], "size": size[k], "root": root[k]})
+
+    def link(block, node, size, root, sets):
+        got = block_links([np.frombuffer(x.as_buffer(), np.uint64) for x in sets], root, least)
+        x, y = np.array(got, np.int64).reshape(-1, 2).T
+        return pa.table({"a": np.maximum(node[x], node[y]), "b": np.minimum(node[x], node[y])})
+
+    total = int(blocks.agg(F.sum(F.greatest(F.lit(SKETCH // 8), F.col("size") / 4))).first()[0] or 0)
+    sketched = blocks.join(classes.select("node", F.col("sketch").alias("payload")), "node")
+    left = cut_lineage(_by_block(sketched, total, sieve, "block long, node long, size long, root long"))
+    total = int(left.agg(F.sum("size")).first()[0] or 0) * 8
+    sets = _sets(left.select("node").distinct(), base, marked).withColumnRenamed("shingles", "payload")
+    return cut_lineage(_by_block(left.join(sets, "node"), total, link, "a long, b long"))
+
+
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """doc_id, digest (MD5 of the text's bytes), root (long; the same for all rows of a group) for every row."""
     with small_batches(docs.sparkSession):
@@ -400,28 +543,9 @@ def _similar_texts(docs: DataFrame, id_col: str, text_col: str, least: float) ->
     done = cut_lineage(stars.where(fits).select(*pair).distinct())
     links = _verified(done, base, marked, classes, least)
     roots = connected(links)
-    for k in range(ROUNDS + 1):
-        labelled = sized.join(roots, "node", "left").select("h", "node", "size", F.coalesce("root", "node").alias("root"))
-        mixed = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-        labelled = cut_lineage(labelled.join(mixed, "h"))
-        if k == ROUNDS:
-            break
-        leads = [F.min_by(F.struct("node", "size"), F.xxhash64("node", F.lit(LEADERS * k + i))) for i in range(LEADERS)]
-        own = labelled.groupBy("h", "root").agg(F.count("*").alias("n"), F.array(*leads).alias("q"))
-        lead = own.groupBy("h").agg(F.max_by(F.struct(F.col("root").alias("s"), "q"), F.struct("n", "root")).alias("x")).select("h", F.col("x.s").alias("s"), F.explode("x.q").alias("q"))
-        stars = labelled.select("h", "root", F.struct("node", "size").alias("p")).join(lead, "h").where("root <> s").where(fits).select(*pair).distinct()
-        stars = cut_lineage(stars.join(done, ["a", "b"], "left_anti"))
-        new = _verified(stars, base, marked, classes, least)
-        links, done = links.unionAll(new), done.unionAll(stars)
-        if new.isEmpty():
-            break
-        roots = connected(links)
-    # every pair that the stars have not joined
-    members = cut_lineage(labelled.groupBy("h", "root").agg(F.collect_list(F.struct("node", "size")).alias("m")))
-    left, right = members.select("h", F.col("root").alias("r"), F.col("m").alias("p")), members.select("h", F.col("root").alias("s"), F.col("m").alias("q"))
-    cross = left.join(right, "h").where("r < s").select(F.explode("p").alias("p"), "q").select("p", F.explode("q").alias("q"))
-    pairs = cross.where(fits).select(*pair).distinct()
-    rest = _verified(pairs.join(done, ["a", "b"], "left_anti"), base, marked, classes, least)
+    labelled = sized.join(roots, "node", "left").select("h", "node", "size", F.coalesce("root", "node").alias("root"))
+    mixed = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    rest = _met(_blocks(cut_lineage(labelled.join(mixed, "h"))), base, marked, classes, least)
     roots = connected(links.unionAll(rest))
     return marked.join(roots, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
 

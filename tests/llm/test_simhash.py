@@ -4,8 +4,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+from keyloom.llm import simhash_lsh
 from keyloom.llm.common import SMALL_BATCH, small_batches
-from keyloom.llm.simhash_lsh import _differing, _sketch, covering_masks, link_fingerprints, near_duplicate_groups, near_links, simhash_near_duplicates, similarity, word_shingles
+from keyloom.llm.components import local_components
+from keyloom.llm.simhash_lsh import _differing, _sketch, block_links, covering_masks, link_fingerprints, may_match, near_duplicate_groups, near_links, simhash_near_duplicates, similarity, word_shingles
 
 
 def brute_fp(text):
@@ -151,6 +153,57 @@ def test_block_edits(spark):
     assert len(pairs) > 90 and got == {i: i - 1 if i - 1 in pairs else i for i, _ in docs}
 
 
+def loose_group(r, n, size, edits):
+    """Texts of one base, each with words of its own in places; where there are many, most pairs stay below 0.8."""
+    base = ["b%d" % k for k in range(size)]
+    out = []
+    for i in range(n):
+        c = list(base)
+        for at in r.sample(range(size), r.choice(edits)):
+            c[at] = "own%d_%d" % (i, at)
+        out.append(c)
+    return out
+
+
+def joined(sets, root):
+    """Components (as the smallest index) of texts of one root or of a similarity of 0.8, by all pairs."""
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if root[i] == root[j] or similarity(sets[i], sets[j]) >= 0.8]
+    return local_components(len(sets), *np.array([*pairs, (0, 0)]).T)
+
+
+def test_blocks_join_what_all_pairs_join():
+    r = random.Random(5)
+    for n, size, edits in ((2, 8, [0, 1]), (40, 30, [0, 1, 2, 9]), (60, 100, [1, 2, 3, 4, 5]), (60, 300, [3, 9, 20]), (30, 1030, [20, 90])):
+        texts = loose_group(r, n, size, edits)
+        texts += [t[: r.randrange(len(t)) + 1] for t in texts[::3]] + [t + ["more%d" % k for k in range(size // 9)] for t in texts[::4]]
+        sets = [word_shingles(t) for t in texts]
+        for root in (np.arange(len(sets)), np.array([r.randrange(len(sets)) for _ in sets])):
+            want, links = joined(sets, root), block_links(sets, root, 0.8)
+            assert all(similarity(sets[x], sets[y]) >= 0.8 for x, y in links)
+            a, b = np.array([*links, *zip(range(len(sets)), [list(root).index(x) for x in root], strict=True)]).T
+            assert (local_components(len(sets), a, b) == want).all()
+            stay = may_match([_sketch(x) for x in sets], np.array([len(x) for x in sets]), root, 0.8)
+            assert all(stay[x] and stay[y] for x, y in links)
+
+
+def test_a_loose_group_writes_no_pairs(spark, monkeypatch):
+    """Many texts share prefix shingles and aren't similar: they meet in blocks, whole or in shares, and every link is found."""
+    r = random.Random(6)
+    texts = loose_group(r, 260, 130, [1, 2, 6, 9, 9, 9, 9])
+    sets = [word_shingles(t) for t in texts]
+    want = joined(sets, np.arange(len(sets)))
+    assert 40 < len(set(want)) < 250
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    compared, verified = [], simhash_lsh._verified
+    monkeypatch.setattr(simhash_lsh, "_verified", lambda pairs, *a: compared.append(pairs.count()) or verified(pairs, *a))
+    for meet in (1 << 19, 9_000):
+        monkeypatch.setattr(simhash_lsh, "MEET", meet, raising=False)
+        compared.clear()
+        got = {x.doc_id: x.group_id for x in near_duplicate_groups(docs).collect()}
+        assert got == dict(enumerate(want.tolist()))
+        assert sum(compared) <= len(texts), "pairs written out to be compared"
+
+
 def test_small_batches_bound_bytes_and_come_back(spark):
     """A batch ends by its bytes, and the session's own settings are the same afterwards, set or not."""
     rows, size = SMALL_BATCH
