@@ -38,9 +38,21 @@ def le(spark, d) -> DataFrame:
     return read(spark, d, "lineitem").select(_key("order:", "l_orderkey").alias("key"), (F.row_number().over(w) - 1).cast("long").alias("pos"), F.col("l_partkey").cast("string").alias("value"))
 
 
+#: Fixed value: partitions for each split of the files, 16 MB of file each at Spark's splits of 128 MB.
+DEALT = 8
+
+
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """rows as they are read, dealt by columns over a number of partitions that grows with the files. What a task then holds
+    keeps its size, as it wouldn't with a fixed number; Spark's own merging of partitions leaves these alone."""
+    return rows.repartition(DEALT * rows.rdd.getNumPartitions(), *by)
+
+
 def sm(spark, d) -> DataFrame:
-    """key, member: the parts each supplier delivers, as a set."""
-    return read(spark, d, "lineitem").select(_key("supp:", "l_suppkey").alias("key"), F.col("l_partkey").cast("string").alias("member")).distinct()
+    """key, member: the parts each supplier delivers, as a set. Pairs seldom repeat within a split, so they are dealt out
+    before they are made distinct, not gathered in each split first."""
+    pairs = read(spark, d, "lineitem").select(_key("supp:", "l_suppkey").alias("key"), F.col("l_partkey").cast("string").alias("member"))
+    return dealt(pairs, "key", "member").distinct()
 
 
 def zm(spark, d) -> DataFrame:

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from keyloom.functions.columns import byte_range, geo_score, glob, slot
 from keyloom.operators import documents, hashes, lists, others, strings, zsets
+from keyloom.sources import keyspace
 from keyloom.streaming import consume
 
 
@@ -107,3 +108,10 @@ def test_cuckoo_del(spark):
     e = spark.createDataFrame([("x",), ("x",), ("y",)], "e string")
     left = others.cuckoo_del(others.cuckoo_cells(e, F.col("e"), 64), e.where("e = 'x'").limit(1).unionAll(e.where("e = 'y'")), 64)
     assert {r.e: r.n for r in others.cuckoo_count(left, e.distinct(), 64).collect()} == {"x": 1, "y": 0}
+
+
+def test_set_pairs_are_dealt_by_the_size_of_the_files(spark, tmp_path):
+    pairs = spark.range(40_000).select((F.col("id") % 50).alias("l_suppkey"), (F.col("id") % 20_000).alias("l_partkey"))
+    pairs.repartition(24).write.parquet(str(tmp_path / "lineitem.parquet"))
+    tasks = [r["count"] for r in keyspace.sm(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 20_000 and max(tasks) < 1_000
