@@ -1,7 +1,9 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 from keyloom.functions.columns import byte_range, geo_score, glob, slot
-from keyloom.operators import documents, hashes, lists, others, strings, zsets
+from keyloom.operators import documents, hashes, lists, others, sets, strings, zsets
 from keyloom.sources import keyspace
 from keyloom.streaming import consume
 
@@ -115,3 +117,11 @@ def test_set_pairs_are_dealt_by_the_size_of_the_files(spark, tmp_path):
     pairs.repartition(24).write.parquet(str(tmp_path / "lineitem.parquet"))
     tasks = [r["count"] for r in keyspace.sm(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(tasks) == 20_000 and max(tasks) < 1_000
+
+
+def test_random_members_are_ordered_by_bytes(spark):
+    sm = spark.createDataFrame([("k", str(i)) for i in range(200)] + [("l", "x")], "key string, member string")
+    picked = sets.srandmember(sm, 5, 1)
+    first = sorted((str(i) for i in range(200)), key=lambda m: hashlib.md5(f"1/{m}".encode()).hexdigest())[:5]
+    assert sorted(map(tuple, picked.collect())) == sorted([("k", m) for m in first] + [("l", "x")])
+    assert "unhex" in picked._jdf.queryExecution().optimizedPlan().toString()
