@@ -51,7 +51,10 @@ def srandmember(sm: DataFrame, count: int, seed: int) -> DataFrame:
 
 
 def sadd(sm: DataFrame, new: DataFrame) -> DataFrame:
-    return sm.unionByName(new.select("key", "member").distinct().join(sm, ["key", "member"], "left_anti"))
+    """What is new is held against those of its members that the sets have, so the sets aren't sorted for it."""
+    new = new.select("key", "member").distinct()
+    held = sm.join(new, ["key", "member"], "left_semi")
+    return sm.unionByName(new.join(held, ["key", "member"], "left_anti"))
 
 
 def srem(sm: DataFrame, gone: DataFrame) -> DataFrame:

@@ -125,3 +125,12 @@ def test_random_members_are_ordered_by_bytes(spark):
     first = sorted((str(i) for i in range(200)), key=lambda m: hashlib.md5(f"1/{m}".encode()).hexdigest())[:5]
     assert sorted(map(tuple, picked.collect())) == sorted([("k", m) for m in first] + [("l", "x")])
     assert "unhex" in picked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sadd_does_not_sort_the_sets(spark):
+    sm = spark.range(400_000).select(F.concat(F.lit("supp:"), F.col("id") % 100).alias("key"), F.col("id").cast("string").alias("member"))
+    new = spark.createDataFrame([("supp:1", "1"), ("supp:1", "x"), ("supp:1", "x"), ("none", "1")], "key string, member string")
+    added = sets.sadd(sm, new)
+    got = added.collect()
+    assert len(got) == len(set(got)) == 400_002 and {("supp:1", "x"), ("none", "1")} <= set(map(tuple, got))
+    assert "LeftSemi, BuildRight" in added._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
