@@ -101,9 +101,43 @@ def topk(elements: DataFrame, element: str, k: int) -> DataFrame:
     return elements.groupBy(element).agg(F.count("*").alias("n")).orderBy(F.desc("n"), element).limit(k)
 
 
-def quantiles(values: DataFrame, by: str, value: str, at: list[float]) -> DataFrame:
-    """Interpolated quantiles of each key."""
-    return values.groupBy(by).agg(*(F.percentile(value, q).alias(f"q{round(q * 100)}") for q in at))
+#: Rows of a group that one task ranks as it is, accuracy of the cuts, and their share of rows on either
+#: side of a quantile, twice the error of that accuracy.
+RANKED, ACCURACY, NEAR = 100_000, 10_000, 0.0002
+
+
+def quantiles(values: DataFrame, by: str, value: str, at: list[float], ranked: int = RANKED) -> DataFrame:
+    """Interpolated quantiles of each key, exact. In groups of over so many rows, cuts from a sketch say where to look: the
+    rows below each are counted, and only what lies between the two cuts around a quantile is ranked. Poor cuts would
+    leave more to rank, the result is the same. Rows of cuts are broadcast, one for each such group."""
+    names = [f"q{round(q * 100)}" for q in at]
+    near = sorted({min(max(q + side, 0.0), 1.0) for q in at for side in (-NEAR, NEAR)})
+    cuts = [f"_cut{i}" for i in range(len(near))]
+    values = values.select(F.col(by).alias("_by"), F.col(value).alias("_v"))
+    v = F.col("_v")
+    sizes = values.groupBy("_by").agg(F.count(v).alias("_n"), F.percentile_approx(v, near, ACCURACY).alias("_cuts")).where(F.col("_n") > ranked)
+    large = sizes.select(F.col("_by").alias("_large"), "_n", *(F.col("_cuts")[i].alias(c) for i, c in enumerate(cuts)))
+    same = F.col("_by").eqNullSafe(F.col("_large"))
+    small = values.join(F.broadcast(large.select("_large")), same, "left_anti").groupBy("_by").agg(*(F.percentile(v, q).alias(x) for q, x in zip(at, names)))
+
+    under = [(F.count_if(v < F.col(c)).alias(f"{c}_under"), F.count_if(v <= F.col(c)).alias(f"{c}_upto")) for c in cuts]
+    counted = values.join(F.broadcast(large), same).groupBy("_large", "_n", *cuts).agg(*(x for pair in under for x in pair))
+    place = lambda q: (F.col("_n") - 1).cast("double") * q
+    # the last cut that has no more rows under it than the quantile's place, and the first that has the next place
+    low = lambda q, of: F.coalesce(*(F.when(F.col(f"{c}_under") <= F.floor(place(q)), of(c)) for c in reversed(cuts)))
+    high = lambda q: F.coalesce(*(F.when(F.col(f"{c}_upto") > F.ceil(place(q)), F.col(c)) for c in cuts))
+    spots = F.array(*(F.struct(F.lit(i).alias("_i"), place(q).alias("_at"), low(q, F.col).alias("_low"), high(q).alias("_high"), F.coalesce(low(q, lambda c: F.col(f"{c}_under")), F.lit(0).cast("long")).alias("_under")) for i, q in enumerate(at)))
+    inside = v.isNotNull() & (F.col("_low").isNull() | (v >= F.col("_low"))) & (F.col("_high").isNull() | (v <= F.col("_high")))
+    found = values.join(F.broadcast(counted.select("_large", F.inline(spots))), same & inside)
+    key = ["_by", "_i", "_at"]
+    upto = F.col("_under") + F.sum("_w").over(Window.partitionBy(*key).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = found.groupBy(*key, "_under", "_v").agg(F.count("*").alias("_w")).withColumn("_upto", upto)
+    lower, higher = F.floor("_at"), F.ceil("_at")
+    ends = placed.groupBy(*key).agg(F.min(F.when(F.col("_upto") > lower, v)).alias("_a"), F.min(F.when(F.col("_upto") > higher, v)).alias("_b"))
+    a, b = F.col("_a").cast("double"), F.col("_b").cast("double")
+    between = F.when(a == b, a).otherwise((higher - F.col("_at")) * a + (F.col("_at") - lower) * b)
+    big = ends.groupBy("_by").agg(*(F.max(F.when(F.col("_i") == i, between)).alias(x) for i, x in enumerate(names)))
+    return small.unionByName(big).withColumnRenamed("_by", by)
 
 
 def cdf(values: DataFrame, by: str, value: str, x: float) -> DataFrame:

@@ -134,3 +134,17 @@ def test_sadd_does_not_sort_the_sets(spark):
     got = added.collect()
     assert len(got) == len(set(got)) == 400_002 and {("supp:1", "x"), ("none", "1")} <= set(map(tuple, got))
     assert "LeftSemi, BuildRight" in added._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_quantiles_of_large_groups(spark):
+    one = spark.range(30_000)
+    i = F.col("id")
+    rows = [(F.lit("even"), i * 7919 % 30_011 / 8), (F.lit("few"), (i % 3).cast("double")), (F.lit("far"), F.pow(F.lit(-1.5), i % 1_000)), (F.lit("nan"), F.when(i % 50 == 0, F.lit(float("nan"))).otherwise(-i)), (F.lit("gaps"), F.when(i % 2 == 0, i / 3)), (F.lit(None), i / 7), (F.lit("none"), F.lit(None))]
+    values = spark.createDataFrame([("small", 1.0), ("small", 2.0)], "k string, x double")
+    for k, x in rows:
+        values = values.unionByName(one.select(k.cast("string").alias("k"), x.cast("double").alias("x")))
+    plain = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    for at, ranked in (([0.0, 0.5, 1.0], 1_000), ([0.001, 0.99], 20_000)):  # 15,000 rows of "gaps" count
+        got = others.quantiles(values, "k", "x", at, ranked)
+        want = values.groupBy("k").agg(*(F.percentile("x", q).alias(f"q{round(q * 100)}") for q in at))
+        assert got.columns == want.columns and plain(got) == plain(want)
